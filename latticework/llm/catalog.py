@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import bpe, exact, mixing, simhash, toxicity
+from latticework.llm import bpe, exact, langid, mixing, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,7 +39,7 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_toxicity, op4_simhash_near_dedup, op7_exact_dedup, op8_source_mixing, op10_byte_level_bpe)}
+    return {f.__name__: f for f in (op3_toxicity, op4_simhash_near_dedup, op5_language_id, op7_exact_dedup, op8_source_mixing, op10_byte_level_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

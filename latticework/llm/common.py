@@ -57,8 +57,8 @@ def spread(column: Column) -> Column:
     return F.xxhash64(column.cast("string"), F.lit(2_654_435_761))
 
 
-def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, per_class: int) -> DataFrame:
-    """At most per_class documents of each value of a 0/1 label, in the order of a fixed hash.
+def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, per_class: tuple[int, int]) -> DataFrame:
+    """At most per_class[v] documents with the value v of a 0/1 label, in the order of a fixed hash.
 
     Rows with a null id, label or text don't take part. The bound is a parameter of every caller.
     """
@@ -69,8 +69,8 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, per_class: i
     order = Window.partitionBy("label", "slot").orderBy(spread(F.col("doc_id")), "doc_id")
     slots = 16
     named = named.withColumn("slot", F.pmod(spread(F.col("doc_id")), F.lit(slots)))
-    chosen = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, per_class // slots))
-    chosen = F.broadcast(chosen.select("doc_id", "label"))  # at most 2 * per_class rows
+    chosen = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("label") == 0, max(1, per_class[0] // slots)).otherwise(max(1, per_class[1] // slots)))
+    chosen = F.broadcast(chosen.select("doc_id", "label"))  # sum(per_class) rows at most
     return docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").dropDuplicates(["doc_id"])
 
 

@@ -8,11 +8,11 @@ itself a sum over subsequences, the trained machine folds into one weight per ha
 a word is scored without touching the landmarks.
 
 Labelled sentences: labels are of documents, so a sentence is labelled toxic if its document is and it
-has a word that is, among the labelled sample, found in toxic documents only, again and again; words
-of clean documents are the clean examples. A sentence scores as its worst word, where a run of single
+has a word, or the stem of one, that the labelled sample has in toxic documents again and again and
+hardly ever in clean ones; words of clean documents are the clean examples. A sentence scores as its worst word, where a run of single
 letters ("i d i o t") also counts as the word it spells; a document scores as its worst sentence. The
-threshold is set on documents held out from training: the lowest at which at most MAX_FALSE of the
-clean ones are rejected, but never below the middle of the margin.
+threshold is set on documents held out from training: in the gap above all but a share MAX_FALSE of
+the clean ones.
 
 Defined results: null and empty texts score null and are not toxic; repeated rows score alike; without
 both labels to train on nothing is toxic; an empty table gives an empty table; extra columns pass
@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from latticework.llm.common import Grown, Words, labelled_sample, segments_max, slices
 
-#: Bound of the labelled sample, documents of each class.
-SAMPLE_PER_CLASS = 3000
+#: Bound of the labelled sample: clean and toxic documents.
+SAMPLE = (6000, 2000)
 LANDMARKS, LAMBDA, SPAN, HASHED = 320, 0.75, 5, 1 << 20
-MAX_FALSE, EVIDENCE, WINDOW = 0.001, 3, 32
+MAX_FALSE, CHANCE, STRAY, STEMS, INSERTED, WINDOW = 0.001, 1e-5, 0.02, (4, 5, 6, 7), 80, 32
 
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 START, END, BASE = 1, 2, 3
@@ -43,7 +43,7 @@ _OFFSETS = [(a, b) for a, b in combinations(range(1, SPAN), 2)] + [(a, b, c) for
 
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """Code of each character (0: not a letter) and the code that it has between letters."""
+    """Code of each character (0: not a letter) and the code that it has before a letter."""
     plain, inside = np.zeros(1 << 16, dtype=np.uint8), np.zeros(1 << 16, dtype=np.uint8)
     for i in range(1 << 16):
         c = chr(i)
@@ -65,8 +65,8 @@ def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.where(points < 1 << 16, points, ord("a") + points % 26)
     sure = _PLAIN[points]
     letter = sure > 0
-    # a digit or mark stands for a letter only if a letter is on both sides of it
-    code = np.where(np.r_[False, letter[:-1]] & np.r_[letter[1:], False], _INSIDE[points], sure)
+    # a digit or mark stands for a letter only if a letter follows
+    code = np.where(np.r_[letter[1:], False], _INSIDE[points], sure)
     word = np.cumsum(points == 32)
     kept = code > 0
     return code[kept], np.bincount(word[kept], minlength=len(words))
@@ -232,28 +232,29 @@ class Scorer:
 
 
 def train(texts: list[str], toxic: list[int]) -> Model:
-    """Fit on labelled documents; every fifth is held out for the threshold."""
-    label, held = np.array(toxic), np.arange(len(texts)) % 5 == 4
+    """Fit on labelled documents; every third is held out for the threshold."""
+    label, held = np.array(toxic), np.arange(len(texts)) % 3 == 2
     order = np.lexsort((np.arange(len(texts)), label))
     held = held[np.argsort(order)]  # the same share of either label
     seen: list[Counter] = [Counter(), Counter()]
     for i, text in enumerate(texts):
         if not held[i]:
-            seen[int(label[i])].update({w.strip(".,;:|!?\"'()").lower() for w in text.split()})
+            words = {w.strip(".,;:|!?\"'()").lower() for w in text.split()}
+            seen[int(label[i])].update(words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k})
     clean, bad = seen
     nothing = Model(np.zeros(HASHED, dtype=np.float32), -1.0, np.inf)
     n_bad, n_clean = int((label[~held] == 1).sum()), int((label[~held] == 0).sum())
     if not n_bad or not n_clean:
         return nothing
-    # expected count in toxic documents, were a word as common there as in clean ones
-    evidence = max(EVIDENCE, int(np.ceil(0.004 * n_bad)))
-    worst = [w for w, c in bad.items() if c >= evidence and not clean[w] and len(w) >= 2]
-    if not worst:
-        worst = [w for w, c in bad.items() if c >= 2 and not clean[w] and len(w) >= 2]
+    # so often that a word that is as common in clean documents would hardly be in toxic ones alone
+    evidence = max(2, int(np.ceil(np.log(CHANCE) / np.log(n_bad / (n_bad + n_clean)))))
+    evidence = min(evidence, max(2, n_bad // 4))
+    telling = {w for w, c in bad.items() if c >= evidence and clean[w] * n_bad <= STRAY * c * n_clean}
+    worst = [w for w in bad if w and w[-1] != "*" and not clean[w] and (w in telling or any(w[:k] + "*" in telling for k in STEMS))]
     if not worst:
         return nothing
     worst.sort(key=lambda w: (-bad[w], w))
-    fine = sorted((w for w in clean if w), key=lambda w: (-clean[w], w))
+    fine = sorted((w for w in clean if w and w[-1] != "*" and w not in telling), key=lambda w: (-clean[w], w))
     rng = np.random.default_rng(0)
     if len(fine) > 24_000:
         tail = rng.choice(len(fine) - 8000, 16_000, replace=False) + 8000
@@ -267,9 +268,14 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     value, vector = np.linalg.eigh(gram.astype(np.float64))
     good = value > 1e-4 * value.max()
     project = vector[:, good] / np.sqrt(value[good])
-    y = np.r_[np.ones(len(worst)), -np.ones(len(fine))]
-    cost = np.where(y > 0, 0.5 * len(y) / len(worst), 0.5 * len(y) / len(fine)) / len(y) * 1000
-    words = worst + fine
+    # common insults count for more, and come with one letter inserted, too
+    often = np.sqrt(np.array([bad[w] for w in worst], dtype=np.float64))
+    stretched = [(o, w[:i] + "xaze"[i % 4] + w[i:]) for o, w in zip(often[:INSERTED], worst) if len(w) >= 4 for i in range(1, len(w))]
+    inserted = [w for _, w in stretched]
+    shares = np.r_[often, [o / 2 for o, _ in stretched]]
+    words = worst + inserted + fine
+    y = np.r_[np.ones(len(shares)), -np.ones(len(fine))]
+    cost = 500 * np.r_[shares / shares.sum(), np.full(len(fine), 1 / len(fine))]
     x = kernel(words, marks_f, used) @ project
     beta, bias = svm(x, y, cost)
     # second round: clean words that the first one takes for insults weigh more
@@ -287,18 +293,18 @@ def train(texts: list[str], toxic: list[int]) -> Model:
 
 
 def calibrate(clean: np.ndarray, bad: np.ndarray) -> float:
-    """The middle between the clean scores, but for a share MAX_FALSE, and the toxic ones above them."""
+    """The middle between the clean scores, but for a share MAX_FALSE, and the toxic ones above them, but for 5 %."""
     if not len(clean):
         return 0.0
     ranked = np.sort(clean)[::-1]
     top = ranked[min(len(ranked) - 1, int(MAX_FALSE * len(ranked)))]
     top = max(top, -1.0) if np.isfinite(top) else -1.0
     above = bad[bad > top]
-    return float((top + np.median(above)) / 2) if len(above) else float(top + 1e-6)
+    return float((top + np.percentile(above, 5)) / 2) if len(above) else float(top + 1e-6)
 
 
-def fit(labels: DataFrame, docs: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    rows = labelled_sample(labels, docs, "toxic", per_class).orderBy("doc_id").collect()
+def fit(labels: DataFrame, docs: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
+    rows = labelled_sample(labels, docs, "toxic", sample).orderBy("doc_id").collect()
     return train([r.text for r in rows], [r.label for r in rows])
 
 
@@ -319,9 +325,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, toxic boolean")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, trained_on: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, trained_on: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
     """docs without those that score as toxic, row by row; columns unchanged."""
-    model = fit(labels, trained_on, per_class)
+    model = fit(labels, trained_on, sample)
     sent = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.threshold))
     schema = docs.schema
     at = docs.columns.index("text")
