@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import bpe, embeddings, exact, langid, mixing, pages, secrets, simhash, toxicity
+from latticework.llm import bpe, embeddings, exact, langid, mixing, pages, passages, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.fit(docs))
@@ -52,7 +56,7 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op4_simhash_near_dedup, op5_language_id, op6_html_extraction, op7_exact_dedup, op8_source_mixing, op9_embedding_near_dedup, op10_byte_level_bpe)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_secret_scan, op3_toxicity, op4_simhash_near_dedup, op5_language_id, op6_html_extraction, op7_exact_dedup, op8_source_mixing, op9_embedding_near_dedup, op10_byte_level_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
