@@ -197,6 +197,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs with text replaced by tokens (array<int>), n_tokens and decodes (the ids give the text again).
 
+    Columns of docs that have these names give way to the new ones.
+
     The vocabulary (under a MB) is read once on the driver and sent to the executors.
     """
     spark = docs.sparkSession

@@ -69,5 +69,5 @@ def drop_exact(docs: DataFrame) -> DataFrame:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs whose doc_id isn't in the written table gone (doc_id); null ids stay."""
-    gone = gone.withColumnRenamed("doc_id", "__gone")
-    return docs.join(small(gone, gone.count()), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = small(gone, gone.count())
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")

@@ -106,7 +106,9 @@ def train(texts: list[str], languages: list[str]) -> Model:
     for i, name in enumerate(languages):
         held[i] = seen[name] % 5 == 4
         seen[name] += 1
-    per: list[list[dict]] = []
+    if not names:
+        return Model([], [], [], [], [], np.zeros(0, dtype=np.float32), np.zeros(0))
+    per: list[dict] = []
     for name in names:
         bag: Counter = Counter()
         for i, text in enumerate(texts):
@@ -115,7 +117,7 @@ def train(texts: list[str], languages: list[str]) -> Model:
         words = list(bag)
         per.append(_kneser_ney(words, np.array([bag[w] for w in words], dtype=np.float64)))
     tables = [[], [], [], []]
-    vocabulary = np.unique(np.concatenate([p["grams"][0] for p in per])) if per else np.zeros(0, dtype=np.uint64)
+    vocabulary = np.unique(np.concatenate([p["grams"][0] for p in per]))
     uniform = -np.log(len(vocabulary) + 1000.0)
     floor = np.array([p["lambda0"] for p in per]) + uniform
     for order in range(1, ORDER + 1):
@@ -141,15 +143,14 @@ def train(texts: list[str], languages: list[str]) -> Model:
         tables[0].append(keys)
         tables[1].append(np.log(table).astype(np.float32))
     model = Model(names, *tables, floor.astype(np.float32), np.full(len(names), np.inf))
-    if names:
-        out = np.flatnonzero(held)
-        best, cross, _ = Scorer(model).of([texts[i] for i in out])
-        truth = np.array([names.index(languages[i]) for i in out], dtype=np.int64)
-        right = (best == truth) & np.isfinite(cross)
-        for i in range(len(names)):
-            own = cross[right & (truth == i)]
-            if len(own):
-                model.limits[i] = np.quantile(own, 1 - REJECT, method="higher") + SLACK
+    out = np.flatnonzero(held)
+    best, cross, _ = Scorer(model).of([texts[i] for i in out])
+    truth = np.array([names.index(languages[i]) for i in out], dtype=np.int64)
+    right = (best == truth) & np.isfinite(cross)
+    for i in range(len(names)):
+        own = cross[right & (truth == i)]
+        if len(own):
+            model.limits[i] = np.quantile(own, 1 - REJECT, method="higher") + SLACK
     return model
 
 

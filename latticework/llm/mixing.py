@@ -86,7 +86,6 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     slim = Table(docs.select("source", doc_hash(F.col("doc_id")).alias("h"), token_count(F.col("text")).alias("n")))
     limits = Table(thresholds(slim.df, weights, alpha, keep)).df
     slim.drop()
-    names = docs.columns
     limits = small(limits, limits.count())
-    kept = docs.withColumn("__h", doc_hash(F.col("doc_id"))).join(limits, F.col("source").eqNullSafe(F.col("source_")) & (F.col("__h") < F.col("threshold")), "left_semi")
-    return kept.select(*names)
+    below = doc_hash(docs["doc_id"]) < limits["threshold"]
+    return docs.join(limits, docs["source"].eqNullSafe(limits["source_"]) & below, "left_semi")

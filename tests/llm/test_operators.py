@@ -1,0 +1,350 @@
+"""The corpus operators against brute force, and on nulls, empty and long texts, ties, repeated rows,
+empty tables and extra columns with clashing names."""
+
+import collections
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from latticework.llm import bpe, embeddings, exact, golay, induced, langid, mixing, pages, passages, secrets, simhash, toxicity, windows
+
+DDL = "doc_id long, text string, lang string, source string, n_chars long, h string, n string, threshold string, source_ string, grp string, rest string, digit string, keep_id string, node string, root string, label string, tokens string, score string, __gone string, pos string, ctx string"
+SF = "/root/testdata/sf0.001"
+
+
+def words(rng, n, vocabulary=4000):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def rows_of():
+    rng = random.Random(5)
+    passage = words(rng, 70)
+    body = words(rng, 300)
+    near = body.split()
+    near[17], near[200] = "changed", "also"
+    texts = [body, body, " ".join(near), None, "", "   ", "a", "x" * 30_000, words(rng, 9000), words(rng, 60) + " " + passage, passage + " " + words(rng, 80), "a", "é è ç ü ß ñ", "tab\tand\nline", "tie tie tie " * 60]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(0, body), (None, body), (None, None), (len(texts) - 1, texts[-1])]
+    return [(i, t, "en" if (i or 0) % 2 else None, None if (i or 0) % 5 == 0 else f"s{(i or 0) % 3}", None, *["clash"] * 16) for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows_of(), DDL).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DDL)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(0, 1, 0), (2, 1, 0), (None, 1, 1), (5, None, None), (8, 1, 1), (0, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+def test_exact_duplicates(spark, docs, empty):
+    groups = collections.defaultdict(set)
+    for i, t, *_ in rows_of():
+        if i is not None and t is not None:
+            groups[t].add(i)
+    expected = {(i, min(g), len(g)) for g in groups.values() for i in g if i != min(g)}
+    assert {tuple(r) for r in exact.exact_duplicates(docs).collect()} == expected
+    kept = exact.drop_exact(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == docs.count() - sum(1 for r in rows_of() if any(r[0] == e[0] for e in expected))
+    assert exact.exact_duplicates(empty).count() == 0 and exact.drop_exact(empty).count() == 0
+
+
+def test_exact_needs_no_bound(spark):
+    long = "prefix " * 20_000
+    frame = spark.createDataFrame([(1, long + "a"), (2, long + "b"), (3, long + "a"), (4, long)], "doc_id long, text string")
+    assert [tuple(r) for r in exact.exact_duplicates(frame).collect()] == [(3, 1, 2)]
+
+
+def brute_fingerprints(texts):
+    return [simhash.fingerprint_batch([t], simhash.Words(), simhash.Grown(np.uint64, 3))[0] for t in texts]
+
+
+def brute_groups(rows):
+    """keep_id of every removed document by all pairs."""
+    prints = {}
+    for i, t, *_ in rows:
+        if i is not None and t and t.strip():
+            own = tuple(int(x) for x in brute_fingerprints([t])[0].view(np.int64))
+            prints[i] = min(own, prints.get(i, own))
+    ids = sorted(prints)
+    f = np.array([prints[i] for i in ids], dtype=np.int64).view(np.uint64)
+    label = list(range(len(ids)))
+    for a in range(len(ids)):
+        near = simhash.near_pairs(f, np.full(len(ids), a), np.arange(len(ids)))
+        for b in np.flatnonzero(near):
+            x, y = label[a], label[b]
+            label = [min(x, y) if v in (x, y) else v for v in label]
+    return {(ids[k], ids[label[k]]) for k in range(len(ids)) if label[k] != k}
+
+
+def test_near_duplicates(spark, docs, empty):
+    expected = brute_groups(rows_of())
+    assert (2, 0) in expected
+    assert {tuple(r) for r in simhash.near_duplicates(docs).collect()} == expected
+    assert simhash.drop_near(docs).columns == docs.columns
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_of_documents(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    expected = brute_groups([(r.doc_id, r.text) for r in frame.collect()])
+    assert {tuple(r) for r in simhash.near_duplicates(frame).collect()} == expected
+
+
+def test_golay_covers_with_radius_three():
+    leader, _ = golay.tables()
+    assert int(np.bitwise_count(leader).max()) == golay.RADIUS
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 1 << 23, 200)
+    row, anchor = golay.reach(x, 0)
+    assert sorted(row.tolist()) == list(range(200))
+
+
+def test_anchors_meet_within_the_threshold():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        x = rng.integers(0, 1 << 62, 2, dtype=np.int64).view(np.uint64)
+        y = x.copy()
+        for b in rng.choice(92, simhash.ANCHORED, replace=False):
+            y[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        f = np.array([x, y])
+        row, anchor = simhash.anchors(f[:, 0], f[:, 1])
+        assert set(anchor[row == 0]) & set(anchor[row == 1])
+
+
+def test_mixing_against_sorting(spark, docs, empty):
+    for weights, keep in ((None, 0.8), ({"s0": 2.0, "s1": 1.0}, 0.5), ({}, 1.0)):
+        rows = [(r.doc_id, r.source, len((r.text or "").replace("\t", " ").replace("\n", " ").split()), r.h) for r in docs.select("doc_id", "source", "text", mixing.doc_hash(F.col("doc_id")).alias("h")).collect()]
+        total = collections.Counter()
+        for _, s, n, _ in rows:
+            total[s] += n
+        w = {s: (t**mixing.ALPHA if weights is None else weights.get(s, 0.0)) for s, t in total.items()}
+        expected = collections.Counter()
+        for s, t in total.items():
+            budget = np.floor(keep * float(sum(total.values())) * w[s] / sum(w.values())) if sum(w.values()) else 0
+            by = collections.Counter()
+            for i, s2, n, h in rows:
+                if s2 == s:
+                    by[h] += n
+            run, open_ = 0, True
+            for h in sorted(by):
+                run += by[h]
+                open_ = open_ and run <= budget
+                if open_:
+                    expected.update((i, s) for i, s2, n, h2 in rows if s2 == s and h2 == h)
+        got = mixing.mix_sources(docs, weights, keep=keep)
+        assert got.columns == docs.columns
+        assert collections.Counter((r.doc_id, r.source) for r in got.collect()) == expected
+    assert mixing.mix_sources(empty).count() == 0
+
+
+def test_bpe_matches_reference_and_round_trips(spark, docs, empty):
+    import tiktoken
+
+    reference = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.VOCABULARY), special_tokens={})
+    encoded = bpe.encode_documents(docs)
+    rows = encoded.select("doc_id", "tokens", "n_tokens", "decodes").collect()
+    texts = {(r[0]): r[1] for r in rows_of() if r[0] is not None}
+    for r in rows:
+        if r.doc_id is None:
+            continue
+        if texts[r.doc_id] is None:
+            assert r.tokens is None and r.n_tokens is None and r.decodes is None
+        else:
+            assert r.tokens == reference.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.tokens) and r.decodes
+    decoded = {r.doc_id: r.text for r in bpe.decode_documents(encoded).select("doc_id", "text").collect() if r.doc_id is not None}
+    assert decoded == texts
+    assert bpe.encode_documents(empty).count() == 0
+
+
+def test_bpe_hard_texts():
+    import tiktoken
+
+    ranks = bpe.load_ranks(bpe.VOCABULARY)
+    reference = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    texts = ["", "a", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "\u0000￿", "日本語テキスト 😀😀", "<|endoftext|>", "ab" * 700, " \n\n \t x"]
+    texts += ["".join(chr(rng.choice((rng.randrange(32, 127), rng.randrange(160, 1500), 32))) for _ in range(rng.randrange(60))) for _ in range(200)]
+    model = bpe.Bpe(ranks)
+    ids, n = model.encode(texts)
+    at = 0
+    for text, k in zip(texts, n):
+        own = ids[at : at + k].tolist()
+        at += k
+        assert own == reference.encode_ordinary(text)
+        assert model.decode(own).decode("utf-8") == text
+
+
+def test_suffix_array_in_memory_and_spilled(tmp_path):
+    rng, spilled = np.random.default_rng(3), 0
+    for _ in range(120):
+        text = np.r_[rng.integers(1, rng.integers(2, 7), rng.integers(1, 70)), 0]
+        expected = sorted(range(len(text)), key=lambda i: list(text[i:]))
+        for limit in (1_000_000, 6):
+            stats = {}
+            assert induced.suffix_array(text, limit, f"file://{tmp_path}/runs", stats).tolist() == expected
+            spilled += stats.get("spilled", 0)
+    assert spilled > 0
+
+
+def brute_passages(rows):
+    seen = collections.defaultdict(set)
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - windows.LENGTH + 1):
+            seen[tuple(w[k : k + windows.LENGTH])].add(i)
+    found = set()
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - windows.LENGTH + 1):
+            if len(seen[tuple(w[k : k + windows.LENGTH])]) > 1:
+                found.update((i, x) for x in range(k, k + windows.LENGTH))
+    return found
+
+
+def test_repeated_passages(spark, docs, empty):
+    expected = brute_passages([(r[0], r[1]) for r in rows_of() if r[0] is not None and r[1] is not None])
+    got = passages.repeated_passages(docs).collect()
+    assert {(r.doc_id, x) for r in got for x in range(r.begin, r.end)} == expected
+    assert all(r.words == r.end - r.begin >= windows.LENGTH and r.other_doc_id != r.doc_id for r in got)
+    assert passages.repeated_passages(empty).count() == 0
+
+
+def test_repeated_passages_of_documents(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    expected = brute_passages([(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()])
+    assert {(r.doc_id, x) for r in passages.repeated_passages(frame).collect() for x in range(r.begin, r.end)} == expected
+
+
+def test_toxicity_held_out(spark, docs, empty, labels):
+    frame, marks = spark.read.parquet("/root/testdata/check_s/documents.parquet"), spark.read.parquet("/root/testdata/check_s/labels.parquet")
+    rows = frame.join(marks, "doc_id").where("doc_id % 6 = 0").select("text", "toxic").collect()
+    half = len(rows) // 2
+    model = toxicity.train([r.text for r in rows[:half]], [r.toxic for r in rows[:half]])
+    caught = model.scorer().of([r.text for r in rows[half:]]) > model.threshold
+    truth = np.array([r.toxic for r in rows[half:]]) == 1
+    assert caught[truth].mean() >= 0.9 and caught[~truth].mean() <= 0.01
+    limit = model.threshold
+    assert all(model.scorer().of([f"the {w} of"])[0] > limit for w in ("idiot", "i.d.i.o.t", "id-iot", "I D I O T", "1diot", "i d i o t"))
+    scored = toxicity.score(docs, model).collect()
+    assert len(scored) == docs.count()
+    assert all(r.score is None and not r.toxic for r in scored if r.doc_id in (3, 4, 5))
+    assert toxicity.score(empty, model).count() == 0
+    untrained = toxicity.fit(labels.where("false"), docs)
+    assert not any(r.toxic for r in toxicity.score(docs, untrained).collect())
+    kept = toxicity.drop_toxic(docs, labels, docs)
+    assert kept.columns == docs.columns and kept.where("doc_id = 3").count() == 1
+
+
+def test_language_models_held_out(spark, docs, empty):
+    frame = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 4 = 0")
+    rows = frame.select("text", "lang").collect()
+    half = len(rows) // 2
+    model = langid.train([r.text for r in rows[:half]], [r.lang for r in rows[:half]])
+    best, cross, _ = langid.Scorer(model).of([r.text for r in rows[half:]])
+    truth = np.array([model.languages.index(r.lang) for r in rows[half:]])
+    assert (best == truth).mean() >= 0.99
+    assert (cross <= model.limits[best]).mean() >= 0.98
+    found = langid.identify(docs, model).collect()
+    assert len(found) == docs.count()
+    assert all(r.predicted == "und" and r.cross_entropy is None and not r.accepted for r in found if r.doc_id in (3, 4, 5))
+    strange = langid.Scorer(model).of(["qzx jjkq wvvx zzqk " * 5])
+    assert strange[1][0] > model.limits[strange[0][0]]
+    assert langid.identify(empty, langid.fit(empty)).count() == 0
+    assert all(r.predicted == "und" for r in langid.identify(docs, langid.fit(empty)).collect())
+
+
+def test_kneser_ney_prefers_what_it_saw():
+    model = langid.train(["abab abba baab aabb"] * 6, ["x"] * 6)
+    logp, n = model.words(["abab", "zzzz"])
+    assert logp[0, 0] > logp[1, 0] and n.tolist() == [5, 5]
+
+
+def test_secrets_held_out(spark, docs, empty):
+    rows = [r.text for r in spark.read.parquet("/root/testdata/check_s/documents.parquet").where("doc_id % 12 = 0").select("text").collect()]
+    network = secrets.train(rows[: len(rows) // 2])
+    rest = rows[len(rows) // 2 :]
+    spans = [(i, s, e) for i, t in enumerate(rest) for s, e in secrets.candidates(t)]
+    truth = np.array([secrets.rule(rest[i], s, e) for i, s, e in spans])
+    found = network.score(rest, spans) >= network.threshold
+    assert found[truth].mean() >= 0.95 and found[~truth].mean() <= 0.02
+    fresh = secrets.made(["la", "thion", "der"], 400, seed=123)
+    score = np.array([network.score([t], [(0, s, e)])[0] for t, s, e, _ in fresh])
+    truth = np.array([y for *_, y in fresh])
+    assert (score >= network.threshold)[truth].mean() >= 0.93
+    assert secrets.scan(docs, network).where("doc_id in (3, 4, 5)").count() == 0
+    assert secrets.scan(empty, network).count() == 0
+    assert secrets.candidates(None) == [] and secrets.candidates("") == []
+
+
+def test_embeddings_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(400, 16))
+    twins = base[:60] + rng.normal(scale=0.08, size=(60, 16))
+    rows = [(i, [float(x) for x in v], "clash") for i, v in enumerate(np.r_[base, twins, base[:3]])]
+    rows += [(900, None, "x"), (901, [], "x"), (902, [0.0] * 16, "x"), (903, [1.0] * 4, "x"), (904, [float("nan")] * 16, "x"), (None, rows[0][1], "x"), rows[5], (905, [0.0] * 16, "x")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string")
+    x = embeddings.unit([r[1] for r in rows[:463]], 16)
+    c = x @ x.T
+    expected = {(i, j) for i, j in zip(*np.nonzero(c >= embeddings.THRESHOLD)) if i < j}
+    got = {(r.vec_id, r.other_id) for r in embeddings.near_pairs(frame).collect()}
+    assert got <= expected and len(got) >= 0.9 * len(expected)
+    assert embeddings.near_pairs(frame.where("false")).count() == 0
+
+
+def test_multi_sequence_order_is_exact():
+    rng = np.random.default_rng(6)
+    x = embeddings.unit(rng.normal(size=(50, 8)).tolist(), 8)
+    grid = embeddings.Grid(rng.normal(size=(9, 4)), rng.normal(size=(7, 4)))
+    got = grid.order(x, 12)
+    for i in range(50):
+        d = ((x[i, :4] - grid.left) ** 2).sum(1)[:, None] + ((x[i, 4:] - grid.right) ** 2).sum(1)
+        assert got[i].tolist() == np.argsort(d.ravel(), kind="stable")[:12].tolist()
+
+
+def test_pages_lose_what_their_host_repeats(spark):
+    rng = random.Random(8)
+    rows = [(i, f"http://a.org/{i}", f"<html><body><nav class=x><a>home</a><a>about</a></nav><article><h1>t{i}</h1><p>{words(rng, 30)}<p>{words(rng, 20)}</article><div class='ad'>buy {i % 3}</div><script>x<p>y</script><!-- c --></body>") for i in range(40)]
+    rows += [(100, "http://b.org/", "<p>only <b>page</p> here"), (101, None, None), (102, "x", ""), (103, "http://b.org:8/", "no tags &amp; all"), (0, rows[0][1], rows[0][2])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in pages.extract_pages(frame).collect()}
+    assert pages.extract_pages(frame).count() == len(rows)
+    for i in range(40):
+        assert got[i].text.startswith(f"t{i}\n") and "home" not in got[i].text and "buy" not in got[i].text and len(got[i].text.split("\n")) == 3
+    assert got[100].text == "only page\nhere" and got[101].text is None and got[102].text == "" and got[103].text == "no tags & all"
+    assert pages.extract_pages(frame.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stages_on_odd_and_empty_rows(spark, docs, empty, stage):
+    last = stage is corpus_pipeline.STAGES[-1]
+    for frame in (docs, empty):
+        got = stage[1](spark, frame, SF)
+        assert last or got.columns == frame.columns
+        assert got.count() <= frame.count()
+
+
+def test_pipeline_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    frame, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(marks, frame)
+    rows = [r for r in frame.collect() if not model.scorer().of([r.text])[0] > model.threshold]
+    first = {}
+    for r in rows:
+        first[r.text] = min(r.doc_id, first.get(r.text, r.doc_id))
+    rows = [r for r in rows if first[r.text] == r.doc_id]
+    gone = {i for i, _ in brute_groups([(r.doc_id, r.text) for r in rows])}
+    rows = [r for r in rows if r.doc_id not in gone]
+    kept = {r.doc_id for r in mixing.mix_sources(spark.createDataFrame(rows, frame.schema)).collect()}
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in got} == kept and all(r.decodes for r in got)
