@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.llm import induced, windows
-from latticework.llm.common import Table, shared_dir, slices, small
+from latticework.llm.common import Table, shared_dir, slices
 
 LENGTH = windows.LENGTH
 SHARD_WORDS, MEMORY_TUPLES = 1_000_000, 4_000_000
@@ -126,8 +126,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     solved = classes.df.where("lo <> hi").select("h", "ctx", (-F.col("back")).alias("b"), (F.col("size") - F.col("back")).alias("e"), "lo", "hi")
     need = classes.df.where("kinds > 1")
     wanted = Table(need.groupBy("doc_id").agg(F.collect_list(F.struct("h", "ctx", "lo", "hi", "pos", "back", "size")).alias("wanted")).withColumnRenamed("doc_id", "doc_id_"))
-    # rows of one doc_id: the text that a place was sampled from can't be told, so the smallest serves
-    texts = base.join(small(wanted.df, wanted.df.count()), F.col("doc_id") == F.col("doc_id_")).select("text", "wanted")
+    # the arrays grow with the input, so this side is never broadcast
+    texts = base.hint("merge").join(wanted.df, F.col("doc_id") == F.col("doc_id_")).select("text", "wanted")
     words = need.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // SHARD_WORDS))
     folder = shared_dir(spark) + "/suffix-runs"
