@@ -596,7 +596,7 @@ def m2_surface_net_vertices(spark, sf):
 
 
 @query("""select ['x', 'y', 'z'][d.d // 2 + 1] as axis, a.x, a.y, a.z, a.v < 0 as inward from sdf a join axis3 d on d.d % 2 = 1 join sdf b on b.x = a.x + d.dx and b.y = a.y + d.dy and b.z = a.z + d.dz
-  where (a.v < 0) <> (b.v < 0) and b.x < 16 and b.y < 16 and b.z < 16 and case d.d when 1 then a.x <> 14 and a.y <> 0 and a.z <> 0 when 3 then a.y <> 14 and a.x <> 0 and a.z <> 0 else a.z <> 14 and a.x <> 0 and a.y <> 0 end""")
+  where (a.v < 0) <> (b.v < 0) and b.x < 16 and b.y < 16 and b.z < 16 and a.x < 15 and a.y < 15 and a.z < 15 and case d.d when 1 then a.x <> 14 and a.y <> 0 and a.z <> 0 when 3 then a.y <> 14 and a.x <> 0 and a.z <> 0 else a.z <> 14 and a.x <> 0 and a.y <> 0 end""")
 def m4_surface_quads(spark, sf):
     return mesh.surface_quads(maps.read_extent(sdf_chunks(spark, sf), SDF, MESH), MESH)
 

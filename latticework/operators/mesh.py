@@ -54,15 +54,15 @@ def vertices(cell_table: DataFrame, voxel_size: float = 1.0) -> DataFrame:
 
 def surface_quads(samples: DataFrame, extent: Extent, value: str = "v") -> DataFrame:
     """(axis, x, y, z, inward): edges of the lattice along an axis whose ends differ in sign, with four
-    cells around; inward if the first end is negative. Edges on the least planes across and on the
-    greatest along the axis belong to neighbouring meshes."""
+    cells around; inward if the first end is negative. Edges on the least planes across, and beyond
+    the last cells, belong to neighbouring meshes."""
     own = samples.where(in_extent(extent)).select(*AXES, (F.col(value) < 0).alias("neg"))
     ahead = F.array(*[F.struct(F.lit("xyz"[a]).alias("axis"), *[F.lit(int(a == b)).cast("long").alias(n) for b, n in enumerate(AXES)]) for a in range(3)])
     edges = own.withColumn("d", F.explode(ahead)).select(*AXES, "neg", "d.axis", *[(F.col(n) + F.col(f"d.{n}")).alias(f"n{n}") for n in AXES])
     ends = own.select(*[F.col(n).alias(f"n{n}") for n in AXES], F.col("neg").alias("other"))
     inner = F.lit(True)
     for a, n in enumerate(AXES):
-        inner = inner & F.when(F.col("axis") == "xyz"[a], F.col(n) != extent.maximum[a] - 1).otherwise(F.col(n) != extent.minimum[a])
+        inner = inner & (F.col(n) < extent.maximum[a]) & F.when(F.col("axis") == "xyz"[a], F.col(n) != extent.maximum[a] - 1).otherwise(F.col(n) != extent.minimum[a])
     return edges.where(inner).join(ends, ["nx", "ny", "nz"]).where("neg <> other").select("axis", *AXES, F.col("neg").alias("inward"))
 
 

@@ -1,6 +1,6 @@
 """Chunk tables on Parquet: Morton-clustered files by level, change batches, snapshots.
 
-A table is a folder of immutable versions: `data/v=<n>` holds the changes that make version n of its
+A table is a folder of immutable versions: `data/at_version=<n>` holds the changes that make version n of its
 parent, and `versions/` the (version, parent) rows. A version is the latest change of each key on the
 way to the root, so taking a snapshot writes one small row, and reading any version needs no rewrite.
 """
@@ -82,7 +82,7 @@ class ChunkTable:
         return 0
 
     def _write(self, changes: DataFrame, version: int) -> None:
-        clustered(changes, self.spec).write.mode("append").partitionBy("lod").option("compression", self.codec).parquet(f"{self.path}/data/v={version}")
+        clustered(changes, self.spec).write.mode("append").partitionBy("lod").option("compression", self.codec).parquet(f"{self.path}/data/at_version={version}")
 
     def versions(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/versions")
@@ -122,7 +122,7 @@ class ChunkTable:
 
     def _depth(self, version: int) -> int:
         try:
-            found = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/data/v={version}")
+            found = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/data/at_version={version}")
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 return 1
@@ -143,8 +143,8 @@ class ChunkTable:
         data = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
         if "n" not in data.columns:
             data = data.withColumn("n", F.lit(None).cast("long"))
-        place = F.array_position(F.array(*[F.lit(v).cast("long") for v in chain]), F.col("v").cast("long"))
+        place = F.array_position(F.array(*[F.lit(v).cast("long") for v in chain]), F.col("at_version").cast("long"))
         on = ["lod", *keys(self.spec)]
         newest = Window.partitionBy(*on).orderBy(place, F.desc(F.coalesce("n", F.lit(0))))
-        live = data.where(F.col("v").isin(chain)).withColumn("__r", F.row_number().over(newest))
+        live = data.where(F.col("at_version").isin(chain)).withColumn("__r", F.row_number().over(newest))
         return live.where((F.col("__r") == 1) & (F.col("op") == INSERT)).select("lod", *keys(self.spec), "morton", *self.spec.channels)
