@@ -13,6 +13,7 @@ from latticework.functions.points import Vec
 from latticework.model import AXES, ChunkSpec, Extent, Orthant
 from latticework.operators import clipmap, maps, mesh, neighbours, octree, pyramid, search
 from latticework.sources import chunk_table, scan
+from latticework.sources.vox import VoxDataSource
 from latticework.streaming import observers
 
 C16 = ChunkSpec((16, 16, 16), {"v": 0}, 2)
@@ -279,6 +280,9 @@ def test_vox_round_trip(spark, tmp_path):
     got = scan.read_vox(spark, str(tmp_path / "a.vox"), 0)
     assert as_set(got, *AXES, "color_index") == {r for r in rows if r[3]}
     assert scan.read_vox(spark, str(tmp_path / "a.vox"), 5).count() == 0
+    spark.dataSource.register(VoxDataSource)
+    load = lambda i: spark.read.format("vox").option("modelIndex", i).load(str(tmp_path))
+    assert as_set(load(0), *AXES, "color_index") == as_set(got, *AXES, "color_index") and load(3).count() == 0
     with pytest.raises(ValueError):
         scan.encode_vox(got, Extent.cube((0, 0, 0), 256))
 
@@ -348,3 +352,18 @@ def test_query_equals_sql(spark, name):
     mine = sorted((tuple(plain(v) for v in r) for r in ours.select(*names).collect()), key=repr)
     want = sorted((tuple(plain(v) for v in r) for r in theirs.select(*(f'"{n}"' for n in names)).fetchall()), key=repr)
     assert mine == want
+
+
+def test_pipelines(spark, tmp_path):
+    from latticework.plans import pipelines
+
+    spec = ChunkSpec((8, 8, 8), {"v": 1.0}, 1)
+    table = pipelines.sample_and_store(spark, f"file://{tmp_path}/t", spec, Extent.cube((-8, -8, -8), 16), lambda p: (p.norm_squared() - 10).cast("double"), 1)
+    assert table.read().where("lod = 0").count() == 8 and table.read().where("lod = 1").count() == 8
+    vertices, triangles = pipelines.mesh_extent(table, Extent.cube((-6, -6, -6), 12))
+    assert vertices.count() > 0 and triangles.count() == 2 * (vertices.count() - 2)
+    assert pipelines.range_read(table, 0, Extent.cube((-8, -8, -8), 8)).count() == 1
+    assert pipelines.orthant_read(table, 0, Orthant((0, 0, 0), 3)).count() == 1
+    look = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "id long, x double, y double, z double")
+    now, changes = pipelines.level_of_detail_step(table.read(), None, look, spec, 3.0)
+    assert now.count() == changes.where("change = 'Spawn'").count() > 0
