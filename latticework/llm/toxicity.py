@@ -167,17 +167,17 @@ def kernel(words: list[str], landmarks: np.ndarray, used: np.ndarray) -> np.ndar
                 at = np.where(real, place[key], -1)
                 r, c = np.nonzero(at >= 0)
                 np.add.at(out, own[r], padded[at[r, c]] * np.float32(w))
-    return out / scale(n)[:, None]
+    return out / scale(n)[:, None].astype(np.float32)
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by Newton steps on the active set; y is +-1."""
-    x1 = np.c_[x, np.ones(len(x))]
+    x1 = np.c_[x, np.ones(len(x), dtype=x.dtype)]
     w, keep = np.zeros(x1.shape[1]), np.r_[np.full(x.shape[1], ridge), 1e-6]
     for _ in range(50):
-        active = y * (x1 @ w) < 1
-        xa, ca = x1[active], cost[active]
-        after = np.linalg.solve((xa.T * ca) @ xa + np.diag(keep), xa.T @ (ca * y[active]))
+        active = y * (x1 @ w.astype(x1.dtype)) < 1
+        xa, ca = x1[active], cost[active].astype(x1.dtype)
+        after = np.linalg.solve(((xa.T * ca) @ xa).astype(np.float64) + np.diag(keep), (xa.T @ (ca * y[active])).astype(np.float64))
         if np.allclose(after, w, atol=1e-7):
             break
         w = after
@@ -236,12 +236,6 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     label, held = np.array(toxic), np.arange(len(texts)) % 3 == 2
     order = np.lexsort((np.arange(len(texts)), label))
     held = held[np.argsort(order)]  # the same share of either label
-    seen: list[Counter] = [Counter(), Counter()]
-    for i, text in enumerate(texts):
-        if not held[i]:
-            words = {w.strip(".,;:|!?\"'()").lower() for w in text.split()}
-            seen[int(label[i])].update(words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k})
-    clean, bad = seen
     nothing = Model(np.zeros(HASHED, dtype=np.float32), -1.0, np.inf)
     n_bad, n_clean = int((label[~held] == 1).sum()), int((label[~held] == 0).sum())
     if not n_bad or not n_clean:
@@ -249,6 +243,23 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     # so often that a word that is as common in clean documents would hardly be in toxic ones alone
     evidence = max(2, int(np.ceil(np.log(CHANCE) / np.log(n_bad / (n_bad + n_clean)))))
     evidence = min(evidence, max(2, n_bad // 4))
+
+    def of(text: str) -> set[str]:
+        return {w.strip(".,;:|!?\"'()").lower() for w in text.split()}
+
+    def stems(words: set[str]) -> set[str]:
+        return {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
+
+    bad: Counter = Counter()
+    for i in np.flatnonzero(~held & (label == 1)):
+        own = of(texts[i])
+        bad.update(own | stems(own))
+    # of stems, only those common in toxic documents are counted in clean ones
+    often = {w for w, c in bad.items() if w[-1:] == "*" and c >= evidence}
+    clean: Counter = Counter()
+    for i in np.flatnonzero(~held & (label == 0)):
+        own = of(texts[i])
+        clean.update(own | (stems(own) & often))
     telling = {w for w, c in bad.items() if c >= evidence and clean[w] * n_bad <= STRAY * c * n_clean}
     worst = [w for w in bad if w and w[-1] != "*" and not clean[w] and (w in telling or any(w[:k] + "*" in telling for k in STEMS))]
     if not worst:
@@ -256,27 +267,27 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     worst.sort(key=lambda w: (-bad[w], w))
     fine = sorted((w for w in clean if w and w[-1] != "*" and w not in telling), key=lambda w: (-clean[w], w))
     rng = np.random.default_rng(0)
-    if len(fine) > 24_000:
-        tail = rng.choice(len(fine) - 8000, 16_000, replace=False) + 8000
-        fine = fine[:8000] + [fine[i] for i in np.sort(tail)]
-    worst = worst[:4000]
-    # greedy landmarks: the half from insults by frequency, the rest from clean words
-    half = LANDMARKS // 2
-    marks = worst[:half] + [fine[i] for i in np.sort(rng.choice(len(fine), min(len(fine), LANDMARKS - half), replace=False))]
+    if len(fine) > 18_000:
+        tail = rng.choice(len(fine) - 6000, 12_000, replace=False) + 6000
+        fine = fine[:6000] + [fine[i] for i in np.sort(tail)]
+    worst = worst[:3000]
+    # common insults count for more, and come with one letter inserted, too
+    often = np.sqrt(np.array([bad[w] for w in worst], dtype=np.float64))
+    stretched = [(o, w[:i] + "xaze"[i % 4] + w[i:]) for o, w in zip(often[:INSERTED], worst) if len(w) >= 4 for i in range(1, len(w))]
+    inserted = [w for _, w in stretched]
+    # landmarks: insults by frequency, some with a letter inserted, and clean words
+    half, some = LANDMARKS // 2, LANDMARKS // 5
+    marks = worst[: half - some // 2] + inserted[:some] + [fine[i] for i in np.sort(rng.choice(len(fine), min(len(fine), LANDMARKS - half - some // 2), replace=False))]
     used, marks_f = dense(marks)
     gram = marks_f @ marks_f.T
     value, vector = np.linalg.eigh(gram.astype(np.float64))
     good = value > 1e-4 * value.max()
     project = vector[:, good] / np.sqrt(value[good])
-    # common insults count for more, and come with one letter inserted, too
-    often = np.sqrt(np.array([bad[w] for w in worst], dtype=np.float64))
-    stretched = [(o, w[:i] + "xaze"[i % 4] + w[i:]) for o, w in zip(often[:INSERTED], worst) if len(w) >= 4 for i in range(1, len(w))]
-    inserted = [w for _, w in stretched]
     shares = np.r_[often, [o / 2 for o, _ in stretched]]
     words = worst + inserted + fine
     y = np.r_[np.ones(len(shares)), -np.ones(len(fine))]
     cost = 500 * np.r_[shares / shares.sum(), np.full(len(fine), 1 / len(fine))]
-    x = kernel(words, marks_f, used) @ project
+    x = kernel(words, marks_f, used) @ project.astype(np.float32)
     beta, bias = svm(x, y, cost)
     # second round: clean words that the first one takes for insults weigh more
     wrong = (y < 0) & (x @ beta + bias > -0.5)
