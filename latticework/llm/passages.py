@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.llm import induced, windows
-from latticework.llm.common import Table, shared_dir, slices
+from latticework.llm.common import Table, ragged, shared_dir, slices
 
 LENGTH = windows.LENGTH
-SHARD_WORDS, MEMORY_TUPLES = 1_000_000, 4_000_000
+SHARD_WORDS, MEMORY_TUPLES = 500_000, 4_000_000
 
 _PLACE = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("ctx", pa.int64()), ("back", pa.int32()), ("size", pa.int32())])
 
@@ -52,13 +52,38 @@ _NEED = "h long, ctx long, lo long, hi long, back int, size int, codes binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word codes of the wanted contexts of each document."""
+    """Word codes of the wanted contexts of each document. Where rows share a doc_id, a context is taken
+    from the text that has it."""
     codes = windows.Codes()
     for batch in batches:
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = (codes.of(text.split()) >> np.uint64(32)).astype("<u4")
-            rows = [(w["h"], w["ctx"], w["lo"], w["hi"], w["back"], w["size"], own[w["pos"] - w["back"] : w["pos"] - w["back"] + w["size"]].tobytes()) for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["h", "ctx", "lo", "hi", "back", "size", "codes"])
+        wanted = batch.column(1)
+        bounds, flat = wanted.offsets.to_numpy(), wanted.values
+        h, ctx, lo, hi, pos, back, size = (flat.field(i).to_numpy() for i in range(7))
+        kept, words, held = [], [], 0
+        texts = batch.column(0).to_pylist()
+        for i, text in enumerate(texts):
+            own = codes.of(text.split())
+            rows = np.arange(bounds[i], bounds[i + 1])
+            begin, n = (pos[rows] - back[rows]).astype(np.int64), size[rows].astype(np.int64)
+            fits = begin + n <= len(own)
+            rows, begin, n = rows[fits], begin[fits], n[fits]
+            right = windows.context_hash(windows.Prefix(own), begin, begin + n, back[rows].astype(np.int64)).view(np.int64) == ctx[rows]
+            rows, begin, n = rows[right], begin[right], n[right]
+            if len(rows):
+                kept.append(rows)
+                words.append((own >> np.uint64(32)).astype("<u4")[ragged(begin, n)])
+                held += len(words[-1])
+            if held > 500_000:
+                yield _packed(np.concatenate(kept), np.concatenate(words), (h, ctx, lo, hi, back, size))
+                kept, words, held = [], [], 0
+        if kept:
+            yield _packed(np.concatenate(kept), np.concatenate(words), (h, ctx, lo, hi, back, size))
+
+
+def _packed(rows: np.ndarray, words: np.ndarray, columns: tuple) -> pa.RecordBatch:
+    offsets = np.r_[0, np.cumsum(columns[-1][rows], dtype=np.int64) * 4].astype(np.int32)
+    binary = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(words)])
+    return pa.RecordBatch.from_arrays([*(pa.array(c[rows]) for c in columns), binary], names=["h", "ctx", "lo", "hi", "back", "size", "codes"])
 
 
 def shard_windows(codes: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, limit: int = MEMORY_TUPLES, folder: str | None = None) -> tuple[np.ndarray, ...]:

@@ -68,6 +68,10 @@ class Prefix:
         return mix((self.sums[end] - self.sums[begin]) * self.back[begin])
 
 
+def context_hash(prefix: Prefix, begin: np.ndarray, stop: np.ndarray, back: np.ndarray) -> np.ndarray:
+    return mix(prefix.of(begin, stop) + (back * 128 + stop - begin).astype(np.uint64))
+
+
 def sample(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, place in it, gram hash, context hash, words of context before the place, and of all) of sampled
     places of texts of n words in a row. The context of a place is every window of LENGTH words that
@@ -94,5 +98,5 @@ def sample(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     chosen = np.flatnonzero(whole & (gram == most) & (n[text] >= LENGTH))
     back = np.minimum(place[chosen], RUN - 1)
     begin, stop = chosen - back, np.minimum(chosen + LENGTH, chosen + left[chosen])
-    context = mix(prefix.of(begin, stop) + (back * 128 + stop - begin).astype(np.uint64))
+    context = context_hash(prefix, begin, stop, back)
     return text[chosen], place[chosen], gram[chosen], context, back, stop - begin

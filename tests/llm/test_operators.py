@@ -220,6 +220,14 @@ def test_repeated_passages(spark, docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_repeated_passages_where_rows_share_an_id(spark):
+    rng = random.Random(12)
+    one, two = words(rng, 90), words(rng, 160)
+    frame = spark.createDataFrame([(1, one), (1, two), (2, "lead in " + one), (3, two + " tail"), (4, one + " and more")], "doc_id long, text string")
+    got = {(r.doc_id, x) for r in passages.repeated_passages(frame).collect() for x in range(r.begin, r.end)}
+    assert got == brute_passages([(1, one), (1, two), (2, "lead in " + one), (3, two + " tail"), (4, one + " and more")])
+
+
 def test_repeated_passages_of_documents(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     expected = brute_passages([(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()])
