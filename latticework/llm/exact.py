@@ -40,7 +40,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     last = Table(base.join(small(repeated.df, many), digit == F.col("digit_"), "left_semi").withColumn("grp", F.lit(0).cast("long")))
     repeated.drop()
     live = last.df
-    width, found = FIRST_DIGIT, []
+    # the first digit alone would bring all texts that share an opening line to one task
+    width, found = FIRST_DIGIT * WIDEN, []
     while True:
         keyed = live.withColumn("digit", F.expr(f"substring(rest, 1, {width})"))
         group = Window.partitionBy("grp", "digit")
