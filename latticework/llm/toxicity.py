@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from latticework.llm.common import Grown, Words, labelled_sample, segments_max, slices
 
 #: Bound of the labelled sample: clean and toxic documents.
-SAMPLE = (6000, 2000)
+SAMPLE = (4000, 2000)
 LANDMARKS, LAMBDA, SPAN, HASHED = 320, 0.75, 5, 1 << 20
 MAX_FALSE, CHANCE, STRAY, STEMS, INSERTED, WINDOW = 0.001, 1e-5, 0.02, (4, 5, 6, 7), 80, 32
 
@@ -267,12 +267,14 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     worst.sort(key=lambda w: (-bad[w], w))
     fine = sorted((w for w in clean if w and w[-1] != "*" and w not in telling), key=lambda w: (-clean[w], w))
     rng = np.random.default_rng(0)
+    often = np.sqrt(np.array([bad[w] for w in worst], dtype=np.float64))
+    del bad, clean, telling
     if len(fine) > 18_000:
         tail = rng.choice(len(fine) - 6000, 12_000, replace=False) + 6000
         fine = fine[:6000] + [fine[i] for i in np.sort(tail)]
     worst = worst[:3000]
     # common insults count for more, and come with one letter inserted, too
-    often = np.sqrt(np.array([bad[w] for w in worst], dtype=np.float64))
+    often = often[: len(worst)]
     stretched = [(o, w[:i] + "xaze"[i % 4] + w[i:]) for o, w in zip(often[:INSERTED], worst) if len(w) >= 4 for i in range(1, len(w))]
     inserted = [w for _, w in stretched]
     # landmarks: insults by frequency, some with a letter inserted, and clean words
