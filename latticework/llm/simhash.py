@@ -29,6 +29,7 @@ from latticework.llm import golay
 from latticework.llm.common import Grown, Table, Words, batch_of, slices, small
 from latticework.llm.components import components
 from latticework.llm.exact import without
+from latticework.llm.windows import mix
 
 BITS, WORD, TABLES = 192, 46, 2
 ANCHORED, HALF, NEAR = 9, 2, 24
@@ -114,13 +115,30 @@ def anchors(f0: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 4096):
-            part = batch.slice(begin, 4096)
-            f = [part.column(f"f{i}").to_numpy() for i in range(3)]
-            row, anchor = anchors(f[0], f[1])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), *(pa.array(x[row]) for x in f)], names=["anchor", "f0", "f1", "f2"])
+#: What goes to an anchor: 28 bytes, many to a blob, so that no row format and no luck with compression counts.
+_PLACED = np.dtype([("anchor", "<i4"), ("f", "<u8", 3)])
+CHUNK = 8192
+
+
+def _replicate(parts: int):
+    """Blobs of placed fingerprints, one a slot of anchors and chunk of fingerprints."""
+    slots = 4 * parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(begin, CHUNK)
+                f = np.stack([part.column(f"f{i}").to_numpy().view(np.uint64) for i in range(3)], axis=1)
+                row, anchor = anchors(f[:, 0], f[:, 1])
+                slot = (mix(anchor.astype(np.uint64)) % np.uint64(slots)).astype(np.int32)
+                order = np.argsort(slot, kind="stable")
+                placed = np.empty(len(order), dtype=_PLACED)
+                placed["anchor"], placed["f"] = anchor[order], f[row[order]]
+                own, starts = np.unique(slot[order], return_index=True)
+                ends = np.r_[starts[1:], len(order)]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([placed[s:e].tobytes() for s, e in zip(starts, ends)], type=pa.binary())], names=["slot", "placed"])
+
+    return run
 
 
 def near_pairs(f: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -186,9 +204,10 @@ _EDGE = ["a0", "a1", "a2", "b0", "b1", "b2"]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [(b.column("anchor").to_numpy(), np.stack([b.column(f"f{i}").to_numpy().view(np.uint64) for i in range(3)], axis=1)) for b in batches]
-    if held:
-        a, b = partition_edges(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+    blobs = [v.as_buffer() for b in batches for v in b.column("placed")]
+    if blobs:
+        placed = np.concatenate([np.frombuffer(v, dtype=_PLACED) for v in blobs])
+        a, b = partition_edges(placed["anchor"], placed["f"])
         both = np.concatenate([a, b], axis=1).view(np.int64)
         for begin in range(0, len(both), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(both[begin : begin + 50_000, i]) for i in range(6)], names=_EDGE)
@@ -199,11 +218,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = Table(fingerprints(docs))
     one = prints.df.groupBy("doc_id").agg(F.min(F.struct("f0", "f1", "f2")).alias("f")).select("doc_id", "f.*")
     nodes = Table(one.groupBy("f0", "f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
-    placed = nodes.df.select("f0", "f1", "f2").mapInArrow(_replicate, "anchor int, f0 long, f1 long, f2 long")
-    # enough partitions that one is a few dozen MB at any size: about 61 * 2 rows of 28 bytes a node
+    # enough partitions that one is a few dozen MB at any size: about 61 * 2 times 28 bytes a node
     spark, count = docs.sparkSession, nodes.df.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * 122 // 1_000_000))
-    edges = Table(placed.repartition(parts, "anchor").mapInArrow(_compare, ", ".join(f"{x} long" for x in _EDGE)).distinct())
+    placed = nodes.df.select("f0", "f1", "f2").mapInArrow(_replicate(parts), "slot int, placed binary")
+    edges = Table(placed.repartition(parts, "slot").mapInArrow(_compare, ", ".join(f"{x} long" for x in _EDGE)).distinct())
     for side in "ab":
         names = nodes.df.select(*(F.col(f"f{i}").alias(f"{side}{i}") for i in range(3)), F.col("node").alias(side))
         joined = edges.df.join(names, [f"{side}{i}" for i in range(3)])
