@@ -341,7 +341,7 @@ def e16_spheres(spark, sf):
 @query("select b.id, count(*) as n from boxes b join pts p on p.x >= b.x and p.x < b.x + b.sx and p.y >= b.y and p.y < b.y + b.sy and p.z >= b.z and p.z < b.z + b.sz group by b.id")
 def f1_points_in_boxes(spark, sf):
     b = boxes(spark, sf).select("id", *[F.col(a).alias(f"{a}0") for a in AXES], *box_of().lub.named("x1", "y1", "z1"))
-    return neighbours.points_in_boxes(part_points(spark, sf), b, ChunkSpec((8, 8, 8))).groupBy("id").agg(F.count("*").alias("n"))
+    return neighbours.points_in_boxes(part_points(spark, sf), b, ChunkSpec((4, 4, 4))).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query(f"select distinct a.x, a.y, a.z from sdf a cross join axis3 d left join sdf b on b.x = a.x + d.dx and b.y = a.y + d.dy and b.z = a.z + d.dz and b.v < 0 where a.v < 0 and b.x is null and a.{IN_BOX.replace(' and ', ' and a.').replace('between 2 and a.21', 'between 2 and 21').replace('between 3 and a.19', 'between 3 and 19').replace('between 1 and a.11', 'between 1 and 11')}")
