@@ -1,12 +1,14 @@
 """Operator 4, SimHash near-dedup by anchor-point covering.
 
 A document's fingerprint has 192 bits: the signs of the sum of +-(1 + ln tf) over the hash bits of its
-lower-cased words. The first 92 bits form two words of 46, each a pair of 23-bit blocks; the anchors
-of a word are pairs of Golay codewords, a covering code of radius 3 in each block. Two fingerprints
-within 9 bits on those 92 are within 4 on one of the two words, so some point midway is within 2 of
-either; each fingerprint is therefore replicated to every anchor within covering radius plus 2 (half
-the threshold; about 61 anchors a word) and compared per anchor. That finds every such pair, with no
-cap. A pair counts as near if it also differs in at most 24 of all 192 bits.
+lower-cased words. Two documents are near if their fingerprints differ in at most 24 bits.
+
+The first 184 bits form four words of 46, each a pair of 23-bit blocks; the anchors of a word are pairs
+of Golay codewords, a covering code of radius 3 in each block. Two fingerprints within 4 on a word have
+some point midway within 2 of either; each fingerprint is therefore replicated to every anchor within
+covering radius plus 2 (about 61 anchors a word) and compared per anchor. That finds every pair within
+19 bits, which has a word of at most 4, with no cap. Pairs of 20 to 24 bits may have 5 or 6 on their
+nearest word and then meet with a high probability only (README: measured recall).
 
 Equal fingerprints are one node from the start, so groups of copies cost one row. An anchor keeps
 only a spanning forest of its near pairs; groups are the connected components of all of them.
@@ -31,7 +33,8 @@ from latticework.llm.components import components
 from latticework.llm.exact import without
 from latticework.llm.windows import mix
 
-BITS, WORD, TABLES = 192, 46, 2
+BITS, WORD, TABLES = 192, 46, 4
+#: ANCHORED: bits of any two words within which a pair meets for certain. NEAR: the definition.
 ANCHORED, HALF, NEAR = 9, 2, 24
 
 _FP = pa.schema([("doc_id", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
@@ -89,20 +92,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return base.where(F.col("text").rlike("\\S")).mapInArrow(_fingerprints, _FP_DDL)
 
 
-def blocks(f0: np.ndarray, f1: np.ndarray) -> list[np.ndarray]:
-    """Four 23-bit blocks of the first 92 bits."""
-    a, b = f0.astype(np.uint64), f1.astype(np.uint64)
-    mask = np.uint64((1 << 23) - 1)
-    third = (a >> np.uint64(46)) | (b & np.uint64(0b11111)) << np.uint64(18)
-    return [x.astype(np.int64) for x in (a & mask, a >> np.uint64(23) & mask, third & mask, b >> np.uint64(5) & mask)]
+def blocks(*f: np.ndarray) -> list[np.ndarray]:
+    """The 23-bit blocks of two (four) or three (eight) 64-bit parts, lowest bits first."""
+    bits, mask, out = [x.astype(np.uint64) for x in f], np.uint64((1 << 23) - 1), []
+    for block in range(2 * (64 * len(f) // WORD)):
+        part, at = divmod(23 * block, 64)
+        own = bits[part] >> np.uint64(at)
+        if at > 64 - 23:
+            own = own | bits[part + 1] << np.uint64(64 - at)
+        out.append((own & mask).astype(np.int64))
+    return out
 
 
-def anchors(f0: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor) of every anchor within covering radius plus HALF on either word."""
-    parts, rows, keys = blocks(f0, f1), [], []
-    for table in range(TABLES):
+def anchors(*f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, anchor) of every anchor within covering radius plus HALF on any word of the parts f."""
+    parts, rows, keys, n = blocks(*f), [], [], len(f[0])
+    for table in range(len(parts) // 2):
         left, right = (([golay.reach(parts[2 * table + side], t) for t in range(HALF + 1)]) for side in (0, 1))
-        n = len(f0)
         for t, (lr, la) in enumerate(left):
             for rr, ra in right[: HALF + 1 - t]:
                 many = np.bincount(rr, minlength=n)
@@ -117,7 +123,7 @@ def anchors(f0: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: What goes to an anchor: 28 bytes, many to a blob, so that no row format and no luck with compression counts.
 _PLACED = np.dtype([("anchor", "<i4"), ("f", "<u8", 3)])
-CHUNK = 8192
+CHUNK = 4096
 
 
 def _replicate(parts: int):
@@ -129,7 +135,7 @@ def _replicate(parts: int):
             for begin in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(begin, CHUNK)
                 f = np.stack([part.column(f"f{i}").to_numpy().view(np.uint64) for i in range(3)], axis=1)
-                row, anchor = anchors(f[:, 0], f[:, 1])
+                row, anchor = anchors(*f.T)
                 slot = (mix(anchor.astype(np.uint64)) % np.uint64(slots)).astype(np.int32)
                 order = np.argsort(slot, kind="stable")
                 placed = np.empty(len(order), dtype=_PLACED)
@@ -142,11 +148,8 @@ def _replicate(parts: int):
 
 
 def near_pairs(f: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which of the row pairs differ in at most NEAR bits, and in at most ANCHORED of the first 92."""
-    x = [f[left, i] ^ f[right, i] for i in range(3)]
-    first = np.bitwise_count(x[0]).astype(np.int32)
-    anchored = first + np.bitwise_count(x[1] & np.uint64((1 << 28) - 1))
-    return (anchored <= ANCHORED) & (first + np.bitwise_count(x[1]) + np.bitwise_count(x[2]) <= NEAR)
+    """Which of the row pairs differ in at most NEAR bits."""
+    return sum(np.bitwise_count(f[left, i] ^ f[right, i]).astype(np.int32) for i in range(3)) <= NEAR
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -218,9 +221,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = Table(fingerprints(docs))
     one = prints.df.groupBy("doc_id").agg(F.min(F.struct("f0", "f1", "f2")).alias("f")).select("doc_id", "f.*")
     nodes = Table(one.groupBy("f0", "f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
-    # enough partitions that one is a few dozen MB at any size: about 61 * 2 times 28 bytes a node
+    # enough partitions that one is a few dozen MB at any size: about 61 * TABLES times 28 bytes a node
     spark, count = docs.sparkSession, nodes.df.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * 122 // 1_000_000))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * 61 * TABLES // 1_000_000))
     placed = nodes.df.select("f0", "f1", "f2").mapInArrow(_replicate(parts), "slot int, placed binary")
     edges = Table(placed.repartition(parts, "slot").mapInArrow(_compare, ", ".join(f"{x} long" for x in _EDGE)).distinct())
     for side in "ab":

@@ -122,6 +122,28 @@ def test_anchors_meet_within_the_threshold():
         assert set(anchor[row == 0]) & set(anchor[row == 1])
 
 
+def test_near_is_hamming_distance_over_all_bits():
+    """Pairs within 24 of 192 bits are found and no others, wherever their bits differ."""
+    rng = np.random.default_rng(21)
+    x = rng.integers(0, 256, (600, 24), dtype=np.uint8)
+    bits = np.unpackbits(x, axis=1)
+    for i, row in enumerate(bits):
+        places = 192 if i % 2 else 92  # half of the pairs differ within the first bits only
+        row[rng.choice(places, 10 + i % 15, replace=False)] ^= 1
+    y = np.packbits(bits, axis=1)
+    f = np.concatenate([x, y]).view("<u8")
+    left, right = np.triu_indices(len(f), 1)
+    plain = np.unpackbits((f[left] ^ f[right]).view(np.uint8), axis=1).sum(1) <= 24
+    assert plain.sum() >= 600 and np.array_equal(simhash.near_pairs(f, left, right), plain)
+    row, anchor = simhash.anchors(*f.T)
+    own = {}
+    for r, a in zip(row.tolist(), anchor.tolist()):
+        own.setdefault(r, set()).add(a)
+    met = np.array([bool(own[a] & own[b]) for a, b in zip(left[plain], right[plain])])
+    apart = np.unpackbits((f[left[plain]] ^ f[right[plain]]).view(np.uint8), axis=1).sum(1)
+    assert met[apart <= 19].all() and met.mean() >= 0.9
+
+
 def test_mixing_against_sorting(spark, docs, empty):
     for weights, keep in ((None, 0.8), ({"s0": 2.0, "s1": 1.0}, 0.5), ({}, 1.0)):
         rows = [(r.doc_id, r.source, len((r.text or "").replace("\t", " ").replace("\n", " ").split()), r.h) for r in docs.select("doc_id", "source", "text", mixing.doc_hash(F.col("doc_id")).alias("h")).collect()]
