@@ -3,12 +3,13 @@
 Vectors are scaled to length 1. Each half has its own codebook; the product of both is a grid of
 cells, about CELL_ROWS vectors a cell. A vector lies in the cell of its two nearest codewords and, as
 a query, visits cells in the order of its summed distances to their codewords (multi-sequence order)
-up to a fixed number: the number at which, for vectors moved by as much as the threshold allows, the
-share TARGET of moved vectors lies in a visited cell. Every vector is a query, so a pair has two
-chances. All that meet in a cell are verified by their exact cosine.
+up to a number of its cell: the number at which, with every vector of that cell moved by as much as the
+threshold allows, the share TARGET of moved vectors lies in a visited cell. Every vector is a query, so a
+pair has two chances. All that meet in a cell are verified by their exact cosine.
 
-Codebooks and the number of visits are trained on a fixed-hash sample of at most TRAIN_ROWS vectors;
-everything else covers all rows. Equal vectors are one node; crowded cells are split among tasks.
+Visits are counted over all vectors, cell by cell, so neither the order of ids nor a dense cluster decides
+for the rest. Codebooks begin with k-means on a fixed-hash sample of at most TRAIN_ROWS vectors and are
+then fitted to all rows by ROUNDS rounds of it. Equal vectors are one node; crowded cells are split among tasks.
 
 Defined results: null vectors, those with a null, nan or infinite entry or of length 0, and those of
 another dimension than most have no pairs; pairs are given once, the smaller id first, with every pair
@@ -22,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.llm.common import Table, ragged, spread
+from latticework.llm.windows import mix
 
 THRESHOLD, TARGET, CELL_ROWS, TRAIN_ROWS = 0.85, 0.97, 512, 50_000
-SPLIT_ROWS = 4096
+SPLIT_ROWS, ROUNDS = 4096, 4
 
 SQL = """
 select a.vec_id, b.vec_id as other_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) as cosine
@@ -62,10 +64,11 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 class Grid:
-    """Two codebooks, and how many cells a query visits."""
+    """Two codebooks, and how many cells a query of each cell visits."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, visits: int = 1):
-        self.left, self.right, self.visits = left, right, visits
+    def __init__(self, left: np.ndarray, right: np.ndarray, visits: np.ndarray | None = None):
+        self.left, self.right = left, right
+        self.visits = np.ones(len(left) * len(right), dtype=np.int64) if visits is None else visits
 
     @property
     def cells(self) -> int:
@@ -86,24 +89,93 @@ class Grid:
         return np.take_along_axis(la[:, i] * len(self.right) + ra[:, j], first, 1)
 
 
-def train(sample: np.ndarray, rows: int, threshold: float) -> Grid:
+    def own(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest codeword of each half of each row."""
+        h = x.shape[1] // 2
+        return tuple(((book**2).sum(1) - 2 * part @ book.T).argmin(1) for part, book in ((x[:, :h], self.left), (x[:, h:], self.right)))
+
+    def rank(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Number of cells that row i visits until it has been to cell[i]."""
+        h = x.shape[1] // 2
+        ld, rd = ((book**2).sum(1) - 2 * part @ book.T for part, book in ((x[:, :h], self.left), (x[:, h:], self.right)))
+        at, out = np.arange(len(x)), np.empty(len(x), dtype=np.int64)
+        reached = ld[at, cell // len(self.right)] + rd[at, cell % len(self.right)]
+        step = max(1, 4_000_000 // self.cells)
+        for b in range(0, len(x), step):
+            own = slice(b, b + step)
+            out[own] = (ld[own, :, None] + rd[own, None, :] <= reached[own, None, None]).sum((1, 2))
+        return out
+
+
+def train(sample: np.ndarray, rows: int) -> Grid:
     k = max(1, min(int(np.ceil(np.sqrt(rows / CELL_ROWS))), len(sample) // 16 or 1))
     h = sample.shape[1] // 2
-    grid = Grid(kmeans(sample[:, :h], k), kmeans(sample[:, h:], k))
-    rng = np.random.default_rng(11)
-    x = sample[:2000]
-    away = rng.normal(size=x.shape)
+    return Grid(kmeans(sample[:, :h], k), kmeans(sample[:, h:], k))
+
+
+def moved(x: np.ndarray, ids: np.ndarray, threshold: float) -> np.ndarray:
+    """Each row turned to cosine `threshold`, in a direction that its id draws."""
+    draw = mix(ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(2 * x.shape[1], dtype=np.uint64))
+    u = ((draw >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    away = np.sqrt(-2 * np.log(u[:, ::2])) * np.cos(2 * np.pi * u[:, 1::2])
     away -= (away * x).sum(1, keepdims=True) * x
     away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
-    moved = threshold * x + np.sqrt(1 - threshold**2) * away
-    visits = 1
-    home = grid.order(moved, 1)[:, :1]
-    while visits < grid.cells and (grid.order(x, visits) == home).any(1).mean() < TARGET:
-        visits = min(grid.cells, visits + max(1, visits // 4))
-    grid.visits = visits
+    return threshold * x + np.sqrt(1 - threshold**2) * away
+
+
+def fit(nodes: DataFrame, grid: Grid, dim: int) -> Grid:
+    """The codebooks after ROUNDS rounds of k-means over all rows of nodes (v)."""
+    for _ in range(ROUNDS):
+        sent = nodes.sparkSession.sparkContext.broadcast((grid.left, grid.right))
+
+        def sums(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            grid, h = Grid(*sent.value), dim // 2
+            total = [np.zeros((len(book), book.shape[1] + 1)) for book in (grid.left, grid.right)]
+            for batch in batches:
+                x = unit(batch.column(0).to_pylist(), dim)
+                x = x[np.isfinite(x).all(1)]
+                for t, own, part in zip(total, grid.own(x), (x[:, :h], x[:, h:])):
+                    np.add.at(t, own, np.c_[part, np.ones(len(x))])
+            for half, t in enumerate(total):
+                at = np.flatnonzero(np.broadcast_to(t[:, -1:] > 0, t.shape))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), half, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(t.ravel()[at])], names=["half", "place", "s"])
+
+        # a number a codeword and dimension
+        summed = nodes.select("v").mapInArrow(sums, "half int, place int, s double").groupBy("half", "place").agg(F.sum("s").alias("s")).collect()
+        books = [np.zeros((len(book), book.shape[1] + 1)) for book in (grid.left, grid.right)]
+        for r in summed:
+            books[r.half].flat[r.place] = r.s
+        grid = Grid(*(np.where(t[:, -1:] > 0, t[:, :-1] / np.maximum(t[:, -1:], 1), book) for t, book in zip(books, (grid.left, grid.right))))
+        sent.destroy()
     return grid
 
 
+def calibrate(nodes: DataFrame, grid: Grid, dim: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(visits, vectors) of every cell, from all rows of nodes (vec_id, v)."""
+    sent = nodes.sparkSession.sparkContext.broadcast((grid.left, grid.right))
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = Grid(*sent.value)
+        for batch in batches:
+            x, ids = unit(batch.column(1).to_pylist(), dim), batch.column(0).to_numpy()
+            fine = np.isfinite(x).all(1)
+            x, ids = x[fine], ids[fine]
+            cell, away = (a * len(grid.right) + b for a, b in (grid.own(x), grid.own(moved(x, ids, threshold))))
+            pair, n = np.unique(cell << 32 | grid.rank(x, away), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((pair >> 32).astype(np.int32)), pa.array(pair & 0xFFFFFFFF), pa.array(n)], names=["cell", "rank", "n"])
+
+    found = nodes.select("vec_id", "v").mapInArrow(ranks, "cell int, rank long, n long").groupBy("cell", "rank").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("cell").orderBy("rank"))
+    whole = F.sum("n").over(Window.partitionBy("cell"))
+    found = found.select("cell", "rank", upto.alias("upto"), whole.alias("whole"))
+    # two numbers a cell: one for CELL_ROWS vectors
+    least = found.where(F.col("upto") >= TARGET * F.col("whole")).groupBy("cell").agg(F.min("rank").alias("visits"), F.first("whole").alias("n")).collect()
+    visits, n = np.ones(grid.cells, dtype=np.int64), np.zeros(grid.cells, dtype=np.int64)
+    for r in least:
+        visits[r.cell], n[r.cell] = r.visits, r.n
+    return visits, n
+
+
 _ROW = "cell int, part int, query boolean, vec_id long, v array<double>"
 _NAMES = ["cell", "part", "query", "vec_id", "v"]
 
@@ -122,34 +194,22 @@ def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     nodes = Table(whole.df.where(F.size("v") == dim).groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")))
     rows = nodes.df.count()
     share = min(1.0, TRAIN_ROWS / max(1, rows))
-    picked = nodes.df.where(F.pmod(spread(F.col("vec_id")), F.lit(1_000_000)) < int(share * 1_000_000)).select("vec_id", "v").orderBy("vec_id").limit(TRAIN_ROWS)
+    picked = nodes.df.where(F.pmod(spread(F.col("vec_id")), F.lit(1_000_000)) < int(share * 1_000_000)).select("vec_id", "v").orderBy(spread(F.col("vec_id")), "vec_id").limit(TRAIN_ROWS)
     sample = unit([r.v for r in picked.collect()], dim)
     sample = sample[np.isfinite(sample).all(1)]
     if not len(sample):
         return empty
-    grid = train(sample, rows, threshold)
-    sent = spark.sparkContext.broadcast((grid.left, grid.right, grid.visits))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid = Grid(*sent.value)
-        total = np.zeros(grid.cells, dtype=np.int64)
-        for batch in batches:
-            x = unit(batch.column(0).to_pylist(), dim)
-            x = x[np.isfinite(x).all(1)]
-            total += np.bincount(grid.order(x, 1)[:, 0], minlength=grid.cells) if len(x) else 0
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
-
-    # a number a cell: one for CELL_ROWS vectors
-    sizes = nodes.df.select("v").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(f"n > {SPLIT_ROWS}").collect()
-    crowded = spark.sparkContext.broadcast({r.cell: -(-r.n // SPLIT_ROWS) for r in sizes})
+    grid = fit(nodes.df, train(sample, rows), dim)
+    visits, sizes = calibrate(nodes.df, grid, dim, threshold)
+    sent = spark.sparkContext.broadcast((grid.left, grid.right, visits))
+    crowded = spark.sparkContext.broadcast({int(c): int(-(-sizes[c] // SPLIT_ROWS)) for c in np.flatnonzero(sizes > SPLIT_ROWS)})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = Grid(*sent.value)
         parts = np.ones(grid.cells, dtype=np.int64)
         for cell, n in crowded.value.items():
             parts[cell] = n
-        step = max(1, 200_000 // grid.visits)
+        step = max(1, 200_000 // int(grid.visits.max()))
         for batch in batches:
             for begin in range(0, batch.num_rows, step):
                 own = batch.slice(begin, step)
@@ -158,11 +218,14 @@ def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame
                 x, ids = x[fine], ids[fine]
                 if not len(ids):
                     continue
-                cells = grid.order(x, grid.visits)
-                home = cells[:, 0]
-                asked = cells.ravel()
+                left, right = grid.own(x)
+                home = left * len(grid.right) + right
+                many = grid.visits[home]
+                cells = grid.order(x, int(many.max()))
+                many = np.minimum(many, cells.shape[1])
+                asked = cells[np.arange(cells.shape[1]) < many[:, None]]
                 times = parts[asked]
-                row = np.repeat(np.repeat(np.arange(len(ids)), cells.shape[1]), times)
+                row = np.repeat(np.repeat(np.arange(len(ids)), many), times)
                 cell = np.r_[home, np.repeat(asked, times)]
                 part = np.r_[ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) % parts[home].astype(np.uint64), ragged(np.zeros(len(asked), dtype=np.int64), times).astype(np.uint64)]
                 every = np.r_[np.arange(len(ids)), row]
@@ -190,7 +253,7 @@ def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame
                     one, two, c = one[other], two[other], cosine[i[other], j[other]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(c)], names=["a", "b", "cosine"])
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * (grid.visits + 1) // 200_000))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int((sizes * (visits + 1)).sum()) // 200_000))
     placed = nodes.df.select("vec_id", "v").mapInArrow(place, _ROW).repartition(parts, "cell", "part")
     pairs = placed.mapInArrow(verify, "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     # from nodes back to ids: those of equal vectors, and all ids of two near nodes

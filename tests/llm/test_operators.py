@@ -332,6 +332,23 @@ def test_embeddings_against_all_pairs(spark):
     assert embeddings.near_pairs(frame.where("false")).count() == 0
 
 
+def test_embeddings_with_ids_sorted_by_cluster(spark):
+    """Pairs of cosine 0.85-0.9 outside a tight cluster that has the smallest ids."""
+    rng = np.random.default_rng(17)
+    dim, tight, pairs = 32, 2400, 4000
+    centre = embeddings.unit(rng.normal(size=(1, dim)).tolist(), dim)
+    one = embeddings.unit(rng.normal(size=(pairs, dim)).tolist(), dim)
+    away = rng.normal(size=one.shape)
+    away -= (away * one).sum(1, keepdims=True) * one
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = rng.uniform(0.85, 0.9, (pairs, 1))
+    cluster = centre + 0.01 * rng.normal(size=(tight, dim))
+    x = np.r_[cluster, one, cosine * one + np.sqrt(1 - cosine**2) * away]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {(r.vec_id, r.other_id) for r in embeddings.near_pairs(frame).where(f"vec_id >= {tight}").select("vec_id", "other_id").collect()}
+    assert sum((tight + i, tight + pairs + i) in got for i in range(pairs)) >= 0.95 * pairs
+
+
 def test_multi_sequence_order_is_exact():
     rng = np.random.default_rng(6)
     x = embeddings.unit(rng.normal(size=(50, 8)).tolist(), 8)
