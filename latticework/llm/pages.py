@@ -6,14 +6,15 @@ style and each text of its own is a content feature. With m pages that have the
 p have the importance -sum p log_m p, and content has 1 - the mean over features of the entropy of the
 feature over pages, log_m of the number of pages that have it. Importance is composed upwards,
 (1 - g^l) * styles + g^l * children for l styles. A node is noise if it and all below it are under
-THRESHOLD; noise branches are left out of each page, scripts, styles and comments always.
+THRESHOLD; noise branches are left out of each page, scripts, styles and comments always. Texts of a noise
+branch that at most FEW pages have, and not all that have the chain, are no boilerplate and stay.
 
 The tree is never gathered: pages send one row a feature to a grouped count, and a host's tree holds
 one row a distinct chain. Both passes read a page once.
 
 Defined results: a null or empty page has null or empty text; a page without a host is a site of its
 own kind with all such pages; one page alone at its host keeps all text; unclosed, stray and crossing
-tags are taken as browsers do; text is one line a block, blanks folded; repeated rows count as pages
+tags are taken as browsers do; text is one line a block, blanks folded; equal pages of a host count once
 and each give a row; an empty table gives an empty table; other columns don't matter.
 """
 
@@ -101,6 +102,12 @@ def parse(page: str) -> list[tuple[str, str, int, int]]:
     return events
 
 
+def text_hash(chain: str, text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(f"{chain}\0{_BLANK.sub(' ', text).strip()}".encode("utf-8", "surrogatepass"))
+
+
 def feature_rows(page: str) -> set[tuple[str, int, int]]:
     """(chain, kind, feature hash) of a page, each once."""
     import xxhash
@@ -111,7 +118,7 @@ def feature_rows(page: str) -> set[tuple[str, int, int]]:
     chains: dict[int, str] = {}
     for chain, text, parent, own in parse(page):
         if text is not None:
-            rows.add((chain, TEXT, hash_(_BLANK.sub(" ", text).strip().encode("utf-8", "surrogatepass"))))
+            rows.add((chain, TEXT, text_hash(chain, text)))
             continue
         chains[own] = chain
         rows.add((chain, SELF, 0))
@@ -131,18 +138,19 @@ def host_of(url):
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total: Counter = Counter()
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            total.update((host, *row) for row in feature_rows(page))
+        for host, page, copies in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in feature_rows(page):
+                total[host, *row] += 1 / copies
         host, chain, kind, feature = zip(*total) if total else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(host, type=pa.string()), pa.array(chain, type=pa.string()), pa.array(kind, type=pa.int32()), pa.array(np.array(feature, dtype=np.uint64).view(np.int64)), pa.array(list(total.values()), type=pa.int64())],
+            [pa.array(host, type=pa.string()), pa.array(chain, type=pa.string()), pa.array(kind, type=pa.int32()), pa.array(np.array(feature, dtype=np.uint64).view(np.int64)), pa.array(list(total.values()), type=pa.float64())],
             names=["host", "chain", "kind", "feature", "pages"],
         )
 
 
 def importance(tree: pd.DataFrame) -> pd.DataFrame:
-    """tree: one host's chains with m, styles, style_h, texts, text_h. Adds noise: the chains at whose
-    top a branch is left out."""
+    """tree: one host's chains with m, styles, style_h, texts, text_h. Gives the chains of noise
+    branches, and whether a branch is left out from there."""
     tree = tree.sort_values("chain", key=lambda c: -c.str.count(">"), kind="stable")
     below: dict[str, list[float]] = {}
     loud: dict[str, bool] = {}
@@ -166,12 +174,12 @@ def importance(tree: pd.DataFrame) -> pd.DataFrame:
             below.setdefault(up, []).append(own)
             loud[up] = loud.get(up, False) or heard
     quiet = [c for c in value if not loud[c]]
-    tops = [c for c in quiet if not c or loud.get(c[: c.rindex(">")], True)]
-    return pd.DataFrame({"host": [tree["host"].iloc[0]] * len(tops), "chain": tops}, dtype=object)
+    tops = [not c or loud.get(c[: c.rindex(">")], True) for c in quiet]
+    return pd.DataFrame({"host": [tree["host"].iloc[0]] * len(quiet), "chain": quiet, "top": tops}, dtype=object)
 
 
-def extract(page: str, noise: frozenset) -> tuple[str, int]:
-    """(text without the noise branches, number of branches left out)."""
+def extract(page: str, noise: frozenset, common: frozenset = frozenset()) -> tuple[str, int]:
+    """(text without what is common in the noise branches, number of noise branches)."""
     lines: list[str] = []
     line: list[str] = []
     out: set[int] = set()
@@ -184,7 +192,7 @@ def extract(page: str, noise: frozenset) -> tuple[str, int]:
             if chain[chain.rfind(">") + 1 :].split(".")[0] not in _INLINE and line:
                 lines.append("".join(line))
                 line = []
-        elif own not in out:
+        elif own not in out or np.uint64(text_hash(chain, text)).view(np.int64) not in common:
             block = own if chain[chain.rfind(">") + 1 :].split(".")[0] not in _INLINE else None
             if block is not None and last is not None and block != last and line:
                 lines.append("".join(line))
@@ -200,8 +208,16 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, host, text, removed), a row a row of pages."""
     spark = pages.sparkSession
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    counted = own.where("html is not null").select("host", "html").mapInArrow(_count, "host string, chain string, kind int, feature long, pages long")
-    counted = Table(counted.groupBy("host", "chain", "kind", "feature").agg(F.sum("pages").alias("pages")))
+    # two seeds, 128 bits
+    keyed = own.where("html is not null").withColumns({"d1": F.xxhash64("html"), "d2": F.xxhash64(F.lit(1), "html")})
+    again = keyed.groupBy("host", "d1", "d2").agg(F.count("*").alias("copies")).where("copies > 1")
+    again = Table(again.select(*(F.col(c).alias(f"{c}_") for c in ("host", "d1", "d2")), "copies"))
+    same = (F.col("host") == F.col("host_")) & (F.col("d1") == F.col("d1_")) & (F.col("d2") == F.col("d2_"))
+    keyed = keyed.join(small(again.df, again.df.count()), same, "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    counted = keyed.mapInArrow(_count, "host string, chain string, kind int, feature long, pages double")
+    # shares of equal pages add up to whole pages
+    counted = Table(counted.groupBy("host", "chain", "kind", "feature").agg(F.round(F.sum("pages")).cast("long").alias("pages")))
+    again.drop()
     m = counted.df.where(F.col("kind") == SELF).select("host", "chain", F.col("pages").alias("m"))
     c = counted.df.where(F.col("kind") != SELF).join(m, ["host", "chain"])
     log_m = F.log(F.greatest(F.col("m"), F.lit(2)).cast("double"))
@@ -214,17 +230,21 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         F.sum(F.when(text, 1).otherwise(0)).alias("texts"),
         F.coalesce(F.avg(F.when(text, F.log(F.col("pages").cast("double")) / log_m)), F.lit(0.0)).alias("text_h"),
     )
-    noise = tree.groupBy("host").applyInPandas(importance, "host string, chain string")
-    noise = Table(noise.groupBy("host").agg(F.sort_array(F.collect_list("chain")).alias("noise")))
+    quiet = Table(tree.groupBy("host").applyInPandas(importance, "host string, chain string, top boolean"))
+    tops = quiet.df.where("top").groupBy("host").agg(F.sort_array(F.collect_list("chain")).alias("noise"))
+    texts = c.where(text & ((F.col("pages") > FEW) | (F.col("pages") >= F.col("m"))))
+    common = texts.join(quiet.df, ["host", "chain"], "left_semi").groupBy("host").agg(F.collect_list("feature").alias("common"))
+    noise = Table(tops.join(common, "host", "left"))
+    quiet.drop()
     counted.drop()
     noisy = small(noise.df.withColumnRenamed("host", "host_"), noise.df.count())
-    joined = own.join(noisy, F.col("host") == F.col("host_"), "left").select("page_id", "host", "html", "noise")
+    joined = own.join(noisy, F.col("host") == F.col("host_"), "left").select("page_id", "host", "html", "noise", "common")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = [], []
-            for page, noise in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found = (None, None) if page is None else extract(page, frozenset(noise or ()))
+            for page, noise, common in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                found = (None, None) if page is None else extract(page, frozenset(noise or ()), frozenset(common or ()))
                 texts.append(found[0])
                 removed.append(found[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, type=pa.string()), pa.array(removed, type=pa.int64())], names=["page_id", "host", "text", "removed"])

@@ -372,6 +372,24 @@ def test_pages_lose_what_their_host_repeats(spark):
     assert pages.extract_pages(frame.where("false")).count() == 0
 
 
+def test_small_hosts_with_repeated_pages(spark):
+    rng = random.Random(31)
+    rows, expected = [], {}
+    for n in range(1, 6):
+        for kind in ("same", "near"):  # the last page is given again, or again with one paragraph changed
+            body = [[words(rng, 20) for _ in range(4)] for _ in range(n)]
+            body.append(body[-1] if kind == "same" else [*body[-1][:3], words(rng, 20)])
+            for paragraphs in body:
+                i = len(rows)
+                nav = "<nav><a>home</a></nav>" if n > 1 else ""
+                rows.append((i, f"http://{kind}{n}.org/{i}", f"<body>{nav}<article><p>{'<p>'.join(paragraphs)}</article></body>"))
+                if kind == "same" or n > 1:
+                    expected[i] = "\n".join(paragraphs)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract_pages(frame).collect()}
+    assert {i: got[i] for i in expected} == expected
+
+
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
 def test_stages_on_odd_and_empty_rows(spark, docs, empty, stage):
     last = stage is corpus_pipeline.STAGES[-1]
