@@ -8,7 +8,8 @@ the bytes themselves, never of a digest.
 
 Defined results: null texts equal nothing and are kept; empty texts equal one another; the smallest
 doc_id of a group stays; rows that repeat a doc_id with the same text are one document; a null doc_id
-is never reported and its row is kept; an empty table gives no pairs; other columns don't matter.
+is never reported and its row is kept; a doc_id with several texts has a row a text that is a copy, and
+loses only the rows of that text; an empty table gives no pairs; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -33,11 +34,20 @@ where doc_id <> keep_id
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, copies) for every document that equals one of smaller doc_id."""
-    base = docs.select("doc_id", F.col("text").cast("binary").alias("rest")).where("doc_id is not null and rest is not null")
+    return _copies(docs).select("doc_id", "keep_id", "copies")
+
+
+def _text_hash(text):
+    return F.xxhash64(text.cast("binary"))
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """exact_duplicates with hash, that of the text by which a doc_id's rows are told apart."""
+    base = docs.select("doc_id", _text_hash(F.col("text")).alias("hash"), F.col("text").cast("binary").alias("rest")).where("doc_id is not null and rest is not null")
     digit = F.expr(f"substring(rest, 1, {FIRST_DIGIT})")
     repeated = Table(base.select(digit.alias("digit_")).groupBy("digit_").count().where("count > 1").select("digit_"))
     many = repeated.df.count()
-    last = Table(base.join(small(repeated.df, many), digit == F.col("digit_"), "left_semi").withColumn("grp", F.lit(0).cast("long")))
+    last = Table(base.join(small(repeated.df, many), digit == F.col("digit_"), "left_semi").withColumns({"row": F.monotonically_increasing_id(), "grp": F.lit(0).cast("long")}))
     repeated.drop()
     live = last.df
     # the first digit alone would bring all texts that share an opening line to one task
@@ -47,25 +57,27 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         group = Window.partitionBy("grp", "digit")
         keyed = keyed.withColumn("low", F.min("doc_id").over(group)).withColumn("high", F.max("doc_id").over(group)).where("low <> high")
         ended = F.length("digit") < width
-        # the group's own smallest id names it: groups are disjoint, so names never clash
-        split = Table(keyed.select("doc_id", F.col("low").alias("grp"), ended.alias("ended"), F.when(~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest")))
-        ended_pairs = Table(split.df.where("ended").select("doc_id", F.col("grp").alias("keep_id")).distinct())
+        # the group's smallest row names it: groups have no row in common, though a doc_id may be in several
+        keyed = keyed.withColumn("name", F.min("row").over(group))
+        split = Table(keyed.select("doc_id", "hash", "row", "low", F.col("name").alias("grp"), ended.alias("ended"), F.when(~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest")))
+        ended_pairs = Table(split.df.where("ended").select("doc_id", "hash", F.col("low").alias("keep_id"), "grp").distinct())
         found.append(ended_pairs.df)
         last.drop()
-        last, live = split, split.df.where("not ended").select("doc_id", "rest", "grp")
+        last, live = split, split.df.where("not ended").select("doc_id", "hash", "row", "rest", "grp")
         if live.isEmpty():
             last.drop()
             break
         width *= WIDEN
     pairs = reduce(DataFrame.unionAll, found)
-    copies = F.count("*").over(Window.partitionBy("keep_id"))
-    return pairs.withColumn("copies", copies).where("doc_id <> keep_id").select("doc_id", "keep_id", "copies")
+    copies = F.count("*").over(Window.partitionBy("grp"))
+    return pairs.withColumn("copies", copies).where("doc_id <> keep_id").select("doc_id", "hash", "keep_id", "copies")
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """docs without the later copies; columns unchanged."""
-    gone = Table(exact_duplicates(docs).select("doc_id").distinct())
-    return without(docs, gone.df)
+    gone = Table(_copies(docs).select("doc_id", "hash").distinct()).df
+    gone = small(gone, gone.count())
+    return docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (_text_hash(docs["text"]) == gone["hash"]), "left_anti")
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -65,6 +65,15 @@ def test_exact_needs_no_bound(spark):
     assert [tuple(r) for r in exact.exact_duplicates(frame).collect()] == [(3, 1, 2)]
 
 
+def test_exact_where_an_id_has_several_texts(spark):
+    p1, p2 = "a" * 256, "b" * 256
+    rows = [(1, p1 + "X"), (1, p2 + "Y"), (2, p1 + "S"), (3, p2 + "S"), (4, p1 + "X"), (4, p2 + "Y"), (4, "own"), (5, p2 + "Y"), (1, p1 + "X")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in exact.exact_duplicates(frame).collect()) == [(4, 1, 2), (4, 1, 3), (5, 1, 3)]
+    kept = [r for r in rows if r not in ((4, p1 + "X"), (4, p2 + "Y"), (5, p2 + "Y"))]
+    assert sorted(tuple(r) for r in exact.drop_exact(frame).collect()) == sorted(kept)
+
+
 def brute_fingerprints(texts):
     return [simhash.fingerprint_batch([t], simhash.Words(), simhash.Grown(np.uint64, 3))[0] for t in texts]
 
