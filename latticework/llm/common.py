@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and has at most this many rows.
 BROADCAST_ROWS = 50_000
+#: ... and its texts so many bytes.
+BROADCAST_BYTES = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,10 +50,18 @@ class Table:
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark a counted side for broadcast when it is small; otherwise leave the join to shuffle."""
+    """Mark a counted side of narrow rows for broadcast when it is small; otherwise leave the join to shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def fitting(table: Table, *wide: str | Column) -> DataFrame:
+    """A written side, marked for broadcast when its rows are few and short: wide names columns of any length,
+    or gives bytes a row."""
+    length = sum((F.coalesce(F.octet_length(c) if isinstance(c, str) else c, F.lit(0)) for c in wide), F.lit(0))
+    rows, size = table.df.agg(F.count("*"), F.coalesce(F.sum(length.cast("long")), F.lit(0))).first()
+    return F.broadcast(table.df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else table.df
+
+
 def spread(column: Column) -> Column:
     """A fixed pseudo-random order of rows, equal on every run."""
     return F.xxhash64(column.cast("string"), F.lit(2_654_435_761))

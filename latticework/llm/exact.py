@@ -1,10 +1,11 @@
 """Operator 7, exact dedup by distributed most-significant-digit radix partitioning.
 
-Documents are split by successive runs of bytes. The first split shuffles only doc_id and the first
-digit; only documents whose digit repeats carry their text further. Each later split regroups the
-survivors by (group, next digit) with digits that widen as groups shrink; a group of one is dropped
-and a group whose texts end inside the digit is a set of equal documents. Equality is always that of
-the bytes themselves, never of a digest.
+Documents are split by successive runs of bytes. A round first counts (group, next digit) with partial sums
+on the map side, so that a digit which very many documents share is one row a task, and then joins the
+counts: only rows of a digit that several documents have carry the rest of their text on, named by their group's
+smallest row. Digits widen as groups shrink, from one that moves no text at all; a group of one is dropped and a
+group whose texts end inside the digit is a set of equal documents. Equality is always that of the bytes
+themselves, never of a digest. No window holds texts, and adaptive execution may cut a digit of many rows.
 
 Defined results: null texts equal nothing and are kept; empty texts equal one another; the smallest
 doc_id of a group stays; rows that repeat a doc_id with the same text are one document; a null doc_id
@@ -16,10 +17,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import Table, small
+from latticework.llm.common import Table, fitting, small
 
 FIRST_DIGIT, WIDEN = 64, 4
 
@@ -44,33 +45,32 @@ def _text_hash(text):
 def _copies(docs: DataFrame) -> DataFrame:
     """exact_duplicates with hash, that of the text by which a doc_id's rows are told apart."""
     base = docs.select("doc_id", _text_hash(F.col("text")).alias("hash"), F.col("text").cast("binary").alias("rest")).where("doc_id is not null and rest is not null")
+    several = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high")]
     digit = F.expr(f"substring(rest, 1, {FIRST_DIGIT})")
-    repeated = Table(base.select(digit.alias("digit_")).groupBy("digit_").count().where("count > 1").select("digit_"))
-    many = repeated.df.count()
-    last = Table(base.join(small(repeated.df, many), digit == F.col("digit_"), "left_semi").withColumns({"row": F.monotonically_increasing_id(), "grp": F.lit(0).cast("long")}))
+    repeated = Table(base.select("doc_id", digit.alias("digit_")).groupBy("digit_").agg(*several).where("low <> high").select("digit_"))
+    last = Table(base.join(fitting(repeated, "digit_"), digit == F.col("digit_"), "left_semi").withColumns({"row": F.monotonically_increasing_id(), "grp": F.lit(0).cast("long")}))
     repeated.drop()
-    live = last.df
-    # the first digit alone would bring all texts that share an opening line to one task
     width, found = FIRST_DIGIT * WIDEN, []
     while True:
-        keyed = live.withColumn("digit", F.expr(f"substring(rest, 1, {width})"))
-        group = Window.partitionBy("grp", "digit")
-        keyed = keyed.withColumn("low", F.min("doc_id").over(group)).withColumn("high", F.max("doc_id").over(group)).where("low <> high")
-        ended = F.length("digit") < width
+        keyed = last.df.withColumn("digit", F.expr(f"substring(rest, 1, {width})"))
         # the group's smallest row names it: groups have no row in common, though a doc_id may be in several
-        keyed = keyed.withColumn("name", F.min("row").over(group))
-        split = Table(keyed.select("doc_id", "hash", "row", "low", F.col("name").alias("grp"), ended.alias("ended"), F.when(~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest")))
+        groups = Table(keyed.select("doc_id", "row", "grp", "digit").groupBy("grp", "digit").agg(*several, F.min("row").alias("name")).where("low <> high").select(F.col("grp").alias("grp_"), F.col("digit").alias("digit_"), "low", "name"))
+        same = (F.col("grp") == F.col("grp_")) & (F.col("digit") == F.col("digit_"))
+        ended = F.length("digit") < width
+        split = Table(keyed.join(fitting(groups, "digit_"), same).select("doc_id", "hash", "row", "low", F.col("name").alias("grp"), ended.alias("ended"), F.when(~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest")))
+        last.drop()
+        groups.drop()
         ended_pairs = Table(split.df.where("ended").select("doc_id", "hash", F.col("low").alias("keep_id"), "grp").distinct())
         found.append(ended_pairs.df)
-        last.drop()
-        last, live = split, split.df.where("not ended").select("doc_id", "hash", "row", "rest", "grp")
-        if live.isEmpty():
+        last = Table(split.df.where("not ended").select("doc_id", "hash", "row", "grp", "rest"))
+        split.drop()
+        if last.df.isEmpty():
             last.drop()
             break
         width *= WIDEN
     pairs = reduce(DataFrame.unionAll, found)
-    copies = F.count("*").over(Window.partitionBy("grp"))
-    return pairs.withColumn("copies", copies).where("doc_id <> keep_id").select("doc_id", "hash", "keep_id", "copies")
+    copies = pairs.groupBy("grp").agg(F.count("*").alias("copies"))
+    return pairs.where("doc_id <> keep_id").join(copies, "grp").select("doc_id", "hash", "keep_id", "copies")
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:

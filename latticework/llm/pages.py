@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import Table, small
+from latticework.llm.common import Table, fitting, small
 
 DAMPING, THRESHOLD, FEW = 0.9, 0.9, 2
 STYLE, TEXT, SELF = 0, 1, 2
@@ -237,7 +237,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     noise = Table(tops.join(common, "host", "left"))
     quiet.drop()
     counted.drop()
-    noisy = small(noise.df.withColumnRenamed("host", "host_"), noise.df.count())
+    chains = F.aggregate("noise", F.lit(0).cast("long"), lambda n, chain: n + F.octet_length(chain))
+    noisy = fitting(noise, "host", chains, 8 * F.size(F.coalesce("common", F.array().cast("array<bigint>")))).withColumnRenamed("host", "host_")
     joined = own.join(noisy, F.col("host") == F.col("host_"), "left").select("page_id", "host", "html", "noise", "common")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
