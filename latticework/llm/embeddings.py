@@ -3,18 +3,22 @@
 Vectors are scaled to length 1. Each half has its own codebook; the product of both is a grid of
 cells, about CELL_ROWS vectors a cell. A vector lies in the cell of its two nearest codewords and, as
 a query, visits cells in the order of its summed distances to their codewords (multi-sequence order)
-up to a number of its cell: the number at which, with every vector of that cell moved by as much as the
-threshold allows, the share TARGET of moved vectors lies in a visited cell. Every vector is a query, so a
-pair has two chances. All that meet in a cell are verified by their exact cosine.
-
-Visits are counted over all vectors, cell by cell, so neither the order of ids nor a dense cluster decides
-for the rest. Codebooks begin with k-means on a fixed-hash sample of at most TRAIN_ROWS vectors and are
-then fitted to all rows by ROUNDS rounds of it. Equal vectors are one node; crowded cells are split among tasks.
-
-Defined results: null vectors, those with a null, nan or infinite entry or of length 0, and those of
-another dimension than most have no pairs; pairs are given once, the smaller id first, with every pair
-of ids whose vectors are near; repeated rows of one id are one vector (the smallest); a null id is
-never reported; an empty table gives no pairs; other columns don't matter.
+up to a number of its cell. Every vector is a query, so a pair is found if either finds the other: the number
+of visits of a cell is the one at which, with every vector of that cell moved by as much as the threshold
+allows, the share TARGET of these pairs is found from one end or the other. All that meet in a cell are
+verified by their exact cosine.
+
+Codebooks begin with as many vectors as they have codewords, the least by a fixed hash, and are fitted to all
+vectors by ROUNDS rounds of k-means; visits are counted over all vectors, cell by cell, by sorting distances (k log k
+a vector for k codewords, not k squared). So neither the order of ids nor a dense cluster decides for the rest. What
+is shuffled is a cell, an id and the vector as it came (4 bytes an entry for floats). Equal vectors are one
+node; crowded cells are split among tasks. Each dimension that occurs has a grid of its own; dimensions of up to
+BRUTE_ROWS vectors are compared all with all, a task a dimension.
+
+Defined results: null vectors, those with a null, nan or infinite entry or of length 0 have no pairs, nor do
+vectors of different dimensions; pairs are given once, the smaller id first, with every pair of ids whose
+vectors are near; repeated rows of one id are one vector (the smallest); a null id is never reported; an
+empty table gives no pairs; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ from pyspark.sql import functions as F
 from latticework.llm.common import Table, ragged, spread
 from latticework.llm.windows import mix
 
-THRESHOLD, TARGET, CELL_ROWS, TRAIN_ROWS = 0.85, 0.97, 512, 50_000
-SPLIT_ROWS, ROUNDS = 4096, 4
+THRESHOLD, TARGET, CELL_ROWS, BRUTE_ROWS = 0.85, 0.97, 512, 4096
+SPLIT_ROWS, ROUNDS = 4096, 8
 
 SQL = """
 select a.vec_id, b.vec_id as other_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) as cosine
@@ -39,28 +43,16 @@ where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.
 """
 
 
-def unit(vectors: list, dim: int) -> np.ndarray:
-    """Rows of length 1; rows of nan for those that don't count."""
-    out = np.full((len(vectors), dim), np.nan)
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == dim:
-            out[i] = v
-    with np.errstate(all="ignore"):
-        out /= np.sqrt((out * out).sum(axis=1, keepdims=True))
-    out[~np.isfinite(out).all(axis=1)] = np.nan
-    return out
+def rows(array: pa.Array, dim: int) -> np.ndarray:
+    """A list column of dim entries a row, none null, as a matrix without copies."""
+    return array.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    rng = np.random.default_rng(7)
-    centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
-    for _ in range(rounds):
-        own = np.concatenate([((centres**2).sum(1) - 2 * x[b : b + 8192] @ centres.T).argmin(1) for b in range(0, len(x), 8192)])
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
-        n = np.bincount(own, minlength=len(centres))
-        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
-    return centres
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision."""
+    x = np.asarray(x, dtype=np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # no square overflows
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 class Grid:
@@ -74,12 +66,15 @@ class Grid:
     def cells(self) -> int:
         return len(self.left) * len(self.right)
 
+    def distances(self, x: np.ndarray) -> list[np.ndarray]:
+        """Squared distances of each half to its codewords, but for a number a row."""
+        h = x.shape[1] // 2
+        return [(book**2).sum(1) - 2 * part @ book.T for part, book in ((x[:, :h], self.left), (x[:, h:], self.right))]
+
     def order(self, x: np.ndarray, visits: int) -> np.ndarray:
         """The first cells of each row's multi-sequence traversal; the first of all is its own cell."""
-        h = x.shape[1] // 2
         halves = []
-        for part, book in ((x[:, :h], self.left), (x[:, h:], self.right)):
-            d = (book**2).sum(1) - 2 * part @ book.T
+        for d in self.distances(x):
             by = np.argsort(d, axis=1, kind="stable")[:, :visits]
             halves.append((by, np.take_along_axis(d, by, 1)))
         (la, ld), (ra, rd) = halves
@@ -88,29 +83,27 @@ class Grid:
         first = np.argsort(ld[:, i] + rd[:, j], axis=1, kind="stable")[:, :visits]
         return np.take_along_axis(la[:, i] * len(self.right) + ra[:, j], first, 1)
 
-
-    def own(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def own(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """Nearest codeword of each half of each row."""
-        h = x.shape[1] // 2
-        return tuple(((book**2).sum(1) - 2 * part @ book.T).argmin(1) for part, book in ((x[:, :h], self.left), (x[:, h:], self.right)))
+        return tuple(d.argmin(1) for d in self.distances(x))
 
     def rank(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """Number of cells that row i visits until it has been to cell[i]."""
-        h = x.shape[1] // 2
-        ld, rd = ((book**2).sum(1) - 2 * part @ book.T for part, book in ((x[:, :h], self.left), (x[:, h:], self.right)))
+        ld, rd = self.distances(x)
         at, out = np.arange(len(x)), np.empty(len(x), dtype=np.int64)
         reached = ld[at, cell // len(self.right)] + rd[at, cell % len(self.right)]
-        step = max(1, 4_000_000 // self.cells)
+        rd.sort(axis=1)
+        step = max(1, 1_000_000 // len(self.left))
         for b in range(0, len(x), step):
             own = slice(b, b + step)
-            out[own] = (ld[own, :, None] + rd[own, None, :] <= reached[own, None, None]).sum((1, 2))
-        return out
-
-
-def train(sample: np.ndarray, rows: int) -> Grid:
-    k = max(1, min(int(np.ceil(np.sqrt(rows / CELL_ROWS))), len(sample) // 16 or 1))
-    h = sample.shape[1] // 2
-    return Grid(kmeans(sample[:, :h], k), kmeans(sample[:, h:], k))
+            # how many of the sorted right distances are within what each left one leaves: one search over
+            # all rows, each moved by a multiple of what no difference reaches
+            left, right = reached[own, None] - ld[own], rd[own]
+            span = 2 * (max(np.abs(left).max(), np.abs(right).max()) + 1)
+            lift = span * np.arange(len(left))[:, None]
+            found = np.searchsorted((right + lift).ravel(), (left + lift).ravel() + 1e-12 * span, side="right").reshape(left.shape)
+            out[own] = (found - (np.arange(len(left)) * right.shape[1])[:, None]).sum(1)
+        return np.maximum(out, 1)
 
 
 def moved(x: np.ndarray, ids: np.ndarray, threshold: float) -> np.ndarray:
@@ -125,15 +118,14 @@ def moved(x: np.ndarray, ids: np.ndarray, threshold: float) -> np.ndarray:
 
 def fit(nodes: DataFrame, grid: Grid, dim: int) -> Grid:
     """The codebooks after ROUNDS rounds of k-means over all rows of nodes (v)."""
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS if grid.cells > 1 else 0):
         sent = nodes.sparkSession.sparkContext.broadcast((grid.left, grid.right))
 
         def sums(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             grid, h = Grid(*sent.value), dim // 2
             total = [np.zeros((len(book), book.shape[1] + 1)) for book in (grid.left, grid.right)]
             for batch in batches:
-                x = unit(batch.column(0).to_pylist(), dim)
-                x = x[np.isfinite(x).all(1)]
+                x = unit(rows(batch.column(0), dim))
                 for t, own, part in zip(total, grid.own(x), (x[:, :h], x[:, h:])):
                     np.add.at(t, own, np.c_[part, np.ones(len(x))])
             for half, t in enumerate(total):
@@ -157,11 +149,11 @@ def calibrate(nodes: DataFrame, grid: Grid, dim: int, threshold: float) -> tuple
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = Grid(*sent.value)
         for batch in batches:
-            x, ids = unit(batch.column(1).to_pylist(), dim), batch.column(0).to_numpy()
-            fine = np.isfinite(x).all(1)
-            x, ids = x[fine], ids[fine]
-            cell, away = (a * len(grid.right) + b for a, b in (grid.own(x), grid.own(moved(x, ids, threshold))))
-            pair, n = np.unique(cell << 32 | grid.rank(x, away), return_counts=True)
+            x, ids = unit(rows(batch.column(1), dim)), batch.column(0).to_numpy()
+            y = moved(x, ids, threshold)
+            cell, away = (a * len(grid.right) + b for a, b in (grid.own(x), grid.own(y)))
+            # a pair is found from either end
+            pair, n = np.unique(cell << 32 | np.minimum(grid.rank(x, away), grid.rank(y, cell)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array((pair >> 32).astype(np.int32)), pa.array(pair & 0xFFFFFFFF), pa.array(n)], names=["cell", "rank", "n"])
 
     found = nodes.select("vec_id", "v").mapInArrow(ranks, "cell int, rank long, n long").groupBy("cell", "rank").agg(F.sum("n").alias("n"))
@@ -176,33 +168,65 @@ def calibrate(nodes: DataFrame, grid: Grid, dim: int, threshold: float) -> tuple
     return visits, n
 
 
-_ROW = "cell int, part int, query boolean, vec_id long, v array<double>"
-_NAMES = ["cell", "part", "query", "vec_id", "v"]
-
-
 def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, other_id, cosine) of all pairs found at or above the threshold."""
     spark = embeddings.sparkSession
-    base = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
-    base = base.where("not exists(v, x -> x is null or isnan(x))").groupBy("vec_id").agg(F.min("v").alias("v"))
+    kind = "float" if embeddings.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+    base = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
+    base = base.where("not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)").groupBy("vec_id").agg(F.min("v").alias("v"))
     whole = Table(base)
-    top = whole.df.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    empty = spark.createDataFrame([], "vec_id long, other_id long, cosine double")
-    if top is None:
-        return empty
-    dim = top["dim"]
-    nodes = Table(whole.df.where(F.size("v") == dim).groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")))
-    rows = nodes.df.count()
-    share = min(1.0, TRAIN_ROWS / max(1, rows))
-    picked = nodes.df.where(F.pmod(spread(F.col("vec_id")), F.lit(1_000_000)) < int(share * 1_000_000)).select("vec_id", "v").orderBy(spread(F.col("vec_id")), "vec_id").limit(TRAIN_ROWS)
-    sample = unit([r.v for r in picked.collect()], dim)
-    sample = sample[np.isfinite(sample).all(1)]
-    if not len(sample):
-        return empty
-    grid = fit(nodes.df, train(sample, rows), dim)
-    visits, sizes = calibrate(nodes.df, grid, dim, threshold)
+    nodes = Table(whole.df.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).withColumn("dim", F.size("v")))
+    pairs = spark.createDataFrame([], "a long, b long, cosine double")
+    dims = nodes.df.groupBy("dim").agg(F.count("*").alias("rows")).where("rows > 1").collect()
+    few = [(r["dim"],) for r in dims if r["rows"] <= BRUTE_ROWS]
+    if few:
+        own = nodes.df.select("dim", "vec_id", "v").join(spark.createDataFrame(few, "dim int"), "dim", "left_semi")
+        pairs = pairs.unionAll(own.groupBy("dim").applyInArrow(_all_pairs(threshold), "a long, b long, cosine double"))
+    for r in dims:  # those with so many vectors that one task is not enough
+        if r["rows"] > BRUTE_ROWS:
+            pairs = pairs.unionAll(_grid_pairs(nodes.df.where(F.col("dim") == r["dim"]), r["dim"], r["rows"], kind, threshold))
+    # from nodes back to ids: those of equal vectors, and all ids of two near nodes
+    member = whole.df.join(nodes.df.select("v", F.col("vec_id").alias("node"), "n"), "v").select("vec_id", "node", "n")
+    m1, m2 = member.select(F.col("vec_id").alias("x"), F.col("node").alias("a")), member.select(F.col("vec_id").alias("y"), F.col("node").alias("b"))
+    across = pairs.join(m1, "a").join(m2, "b").select("x", "y", "cosine")
+    twins = member.where("n > 1").select("vec_id", "node")
+    same = twins.select(F.col("vec_id").alias("x"), "node").join(twins.select(F.col("vec_id").alias("y"), "node"), "node").where("x < y").select("x", "y", F.lit(1.0).alias("cosine"))
+    both = across.unionAll(same)
+    return both.select(F.least("x", "y").alias("vec_id"), F.greatest("x", "y").alias("other_id"), F.round("cosine", 4).alias("cosine"))
+
+
+def _near(one: np.ndarray, two: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """(a, b, cosine) of rows of x (ids one) and y (ids two) that are near, a < b."""
+    cosine = x @ y.T
+    i, j = np.nonzero(cosine >= threshold)
+    a, b = one[i], two[j]
+    other = a != b
+    a, b, c = a[other], b[other], cosine[i[other], j[other]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(c)], names=["a", "b", "cosine"])
+
+
+def _all_pairs(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        ids, dim = table.column("vec_id").to_numpy(), table.column("dim")[0].as_py()
+        x = unit(rows(table.column("v").combine_chunks(), dim))
+        parts = [_near(ids[b : b + 1024], ids[b:], x[b : b + 1024], x[b:], threshold) for b in range(0, len(ids), 1024)]
+        # a block meets itself from both sides
+        return pa.Table.from_batches(parts).group_by(["a", "b"]).aggregate([("cosine", "max")]).select([0, 1, 2]).rename_columns(["a", "b", "cosine"])
+
+    return run
+
+
+def _grid_pairs(nodes: DataFrame, dim: int, count: int, kind: str, threshold: float) -> DataFrame:
+    """(a, b, cosine) of near nodes (vec_id, v) of one dimension, each once."""
+    spark = nodes.sparkSession
+    k = int(np.ceil(np.sqrt(count / CELL_ROWS)))
+    first = unit(np.array([r.v for r in nodes.orderBy(spread(F.col("vec_id")), "vec_id").limit(k).select("v").collect()]))
+    half = dim // 2
+    grid = fit(nodes, Grid(first[:, :half], first[:, half:]), dim)
+    visits, sizes = calibrate(nodes, grid, dim, threshold)
     sent = spark.sparkContext.broadcast((grid.left, grid.right, visits))
     crowded = spark.sparkContext.broadcast({int(c): int(-(-sizes[c] // SPLIT_ROWS)) for c in np.flatnonzero(sizes > SPLIT_ROWS)})
+    names = ["cell", "part", "query", "vec_id", "v"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = Grid(*sent.value)
@@ -213,11 +237,8 @@ def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         for batch in batches:
             for begin in range(0, batch.num_rows, step):
                 own = batch.slice(begin, step)
-                x, ids = unit(own.column(1).to_pylist(), dim), own.column(0).to_numpy()
-                fine = np.isfinite(x).all(1)
-                x, ids = x[fine], ids[fine]
-                if not len(ids):
-                    continue
+                raw, ids = rows(own.column(1), dim), own.column(0).to_numpy()
+                x = unit(raw)
                 left, right = grid.own(x)
                 home = left * len(grid.right) + right
                 many = grid.visits[home]
@@ -230,39 +251,30 @@ def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame
                 part = np.r_[ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) % parts[home].astype(np.uint64), ragged(np.zeros(len(asked), dtype=np.int64), times).astype(np.uint64)]
                 every = np.r_[np.arange(len(ids)), row]
                 query = np.r_[np.zeros(len(ids), dtype=bool), np.ones(len(row), dtype=bool)]
-                v = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(every) + 1) * dim, dim, dtype=np.int32)), pa.array(x[every].ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(query), pa.array(ids[every]), v], names=_NAMES)
+                v = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(every) + 1) * dim, dim, dtype=np.int32)), pa.array(raw[every].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(query), pa.array(ids[every]), v], names=names)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(), b.column(4).flatten().to_numpy().reshape(-1, dim)) for b in batches]
+        held = [(b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(), rows(b.column(4), dim)) for b in batches if b.num_rows]
         if not held:
             return
-        key, query, ids, x = (np.concatenate(c) for c in zip(*held))
+        key, query, ids, raw = (np.concatenate(c) for c in zip(*held))
+        del held
         order = np.lexsort((query, key))
-        key, query, ids, x = key[order], query[order], ids[order], x[order]
+        key, query, ids = key[order], query[order], ids[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         for b, e in zip(starts, np.r_[starts[1:], len(key)]):
             cut = b + int((~query[b:e]).sum())
+            if cut == b:
+                continue
+            stored = unit(raw[order[b:cut]])
             for q in range(cut, e, 2048):
                 upto = min(e, q + 2048)
-                cosine = x[q:upto] @ x[b:cut].T
-                i, j = np.nonzero(cosine >= threshold)
-                one, two = ids[q + i], ids[b + j]
-                other = one != two
-                if other.any():
-                    one, two, c = one[other], two[other], cosine[i[other], j[other]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(c)], names=["a", "b", "cosine"])
+                found = _near(ids[q:upto], ids[b:cut], unit(raw[order[q:upto]]), stored, threshold)
+                if found.num_rows:
+                    yield found
 
+    # about 200,000 vectors a task at any size
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int((sizes * (visits + 1)).sum()) // 200_000))
-    placed = nodes.df.select("vec_id", "v").mapInArrow(place, _ROW).repartition(parts, "cell", "part")
-    pairs = placed.mapInArrow(verify, "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    # from nodes back to ids: those of equal vectors, and all ids of two near nodes
-    member = whole.df.join(nodes.df.select("v", F.col("vec_id").alias("node"), "n"), "v").select("vec_id", "node", "n")
-    m1, m2 = member.select(F.col("vec_id").alias("x"), F.col("node").alias("a")), member.select(F.col("vec_id").alias("y"), F.col("node").alias("b"))
-    across = pairs.join(m1, "a").join(m2, "b").select("x", "y", "cosine")
-    twins = member.where("n > 1").select("vec_id", "node")
-    same = twins.select(F.col("vec_id").alias("x"), "node").join(twins.select(F.col("vec_id").alias("y"), "node"), "node").where("x < y").select("x", "y", F.lit(1.0).alias("cosine"))
-    zero = whole.df.where("aggregate(v, 0D, (s, e) -> s + e * e) > 0").select(F.col("vec_id").alias("x"))
-    same = same.join(zero, "x", "left_semi")
-    both = across.unionAll(same)
-    return both.select(F.least("x", "y").alias("vec_id"), F.greatest("x", "y").alias("other_id"), F.round("cosine", 4).alias("cosine"))
+    placed = nodes.select("vec_id", "v").mapInArrow(place, f"cell int, part int, query boolean, vec_id long, v array<{kind}>").repartition(parts, "cell", "part")
+    return placed.mapInArrow(verify, "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
