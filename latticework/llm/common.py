@@ -33,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def shared_uri(spark: SparkSession) -> str:
+    """The shared folder with its scheme, that of the cluster's default file system where it names none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 class Table:
     """A DataFrame written to the shared folder and read again."""
 

@@ -4,17 +4,17 @@ Words are compared as they stand between blanks. Every equal pair of windows of
 sampled gram in common (windows.py), whose hash is the shard key. Places whose gram is in one document
 only are done. Places with one and the same context (all windows that have the gram) in two documents
 repeat as a whole. The rest, one place a distinct context, go to the shard of their gram as suffixes of
-one text, which is sorted with its common prefixes by external induced sorting (induced.py): neighbours
-that share LENGTH words form groups, and a group with two documents is a repeated window. A shard may
-exceed memory: its queues spill to the shared folder.
-
-Common prefixes are settled against LENGTH between neighbours of the finished order instead of being
-carried through the induction, as only whether they reach LENGTH is asked for.
+one text, which external induced sorting (induced.py) orders, carrying common prefixes through the
+induction: neighbours that share LENGTH words form groups, and a group with two documents is a repeated
+window. A shard has about SHARD_WORDS words and may have any number: beyond MEMORY_ROWS rows its text, queues,
+orders and prefixes are files in the shared folder, read in pieces. In memory is a row a context, a
+ninetieth of the text.
 
 Defined results: a row a maximal run of repeated windows, as [begin, end) in words; documents of fewer
 than LENGTH words, null and empty texts have none; repeats inside one document alone don't count, nor
-do those among rows of one doc_id; a null doc_id takes no part; an empty table gives no rows; other
-columns don't matter. Words are 64-bit hashes where grams and contexts meet and 32-bit in a shard.
+do those among rows of one doc_id; ties between other documents go to the smallest; a null doc_id takes no
+part; an empty table gives no rows; other columns don't matter. Words are 64-bit hashes where grams and
+contexts meet and 31-bit in a shard.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.llm import induced, windows
-from latticework.llm.common import Table, ragged, shared_dir, slices
+from latticework.llm.common import Table, ragged, shared_uri, slices
 
 LENGTH = windows.LENGTH
-SHARD_WORDS, MEMORY_TUPLES = 500_000, 4_000_000
+SHARD_WORDS, MEMORY_ROWS = 500_000, 1 << 17
 
 _PLACE = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("ctx", pa.int64()), ("back", pa.int32()), ("size", pa.int32())])
 
@@ -86,54 +86,111 @@ def _packed(rows: np.ndarray, words: np.ndarray, columns: tuple) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*(pa.array(c[rows]) for c in columns), binary], names=["h", "ctx", "lo", "hi", "back", "size", "codes"])
 
 
-def shard_windows(codes: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, limit: int = MEMORY_TUPLES, folder: str | None = None) -> tuple[np.ndarray, ...]:
-    """(context, place, smallest and largest document) of repeated windows among contexts of n words."""
-    # each context ends in a symbol of its own, smaller than all words; the last one is the smallest
-    kinds, own = np.unique(codes, return_inverse=True)
-    ends = np.cumsum(n + 1) - 1
-    text = np.empty(len(codes) + len(n), dtype=np.int64)
-    text[ends] = np.arange(len(n))[::-1]
-    inner = np.ones(len(text), dtype=bool)
-    inner[ends] = False
-    text[inner] = own.ravel() + len(n)
-    order = induced.suffix_array(text, limit, folder)
-    context = np.repeat(np.arange(len(n)), n + 1)
-    same = induced.shares_prefix(text, order, LENGTH)
-    group = np.cumsum(~same)
-    starts = np.flatnonzero(~same)
-    c = context[order]
-    low, high = np.minimum.reduceat(lo[c], starts), np.maximum.reduceat(hi[c], starts)
-    # a context of several documents is a group by itself, also where no whole window begins
-    hit = (low != high)[group - 1] & (order + LENGTH <= ends[c])
-    at = order[hit]
-    c = c[hit]
-    return c, at - (ends[c] - n[c]), low[group - 1][hit], high[group - 1][hit]
+#: Symbols of a shard: ends of contexts below, words from here on.
+_WORDS = 1 << 31
+
+
+class Shard:
+    """Contexts of one shard as a text on disk, each with an end of its own, smaller than all words; the last end is the
+    smallest."""
+
+    def __init__(self, limit: int, folder: str | None):
+        self.store = induced.Store(limit, folder)
+        self.text, self.contexts, self.sizes = induced.Rows(self.store), 0, []
+
+    def add(self, codes: np.ndarray, n: np.ndarray) -> None:
+        """Contexts of n words each, their 32-bit codes in a row."""
+        ends = np.cumsum(n + 1) - 1
+        text = np.empty(len(codes) + len(n), dtype=np.int64)
+        text[ends] = _WORDS - 1 - self.contexts - np.arange(len(n))
+        inner = np.ones(len(text), dtype=bool)
+        inner[ends] = False
+        text[inner] = _WORDS + (codes.astype(np.int64) >> 1)
+        self.text.append(text)
+        self.contexts += len(n)
+        self.sizes.append(np.asarray(n, dtype=np.int64))
+
+    def windows(self, lo: np.ndarray, hi: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows (context, place, smallest and largest document) of repeated windows, in that order."""
+        n = np.concatenate(self.sizes)
+        ends = np.cumsum(n + 1) - 1
+        found = induced.Rows(self.store, 4)
+        ranked = induced.suffix_order(self.text, 2 * _WORDS)
+        self.text.drop()
+        held: list[np.ndarray] = []  # rows of a group that goes on
+
+        def close(rows: np.ndarray, first: np.ndarray) -> None:
+            starts = np.flatnonzero(first)
+            c = np.searchsorted(ends, rows)
+            low, high = np.minimum.reduceat(lo[c], starts), np.maximum.reduceat(hi[c], starts)
+            group = np.cumsum(first) - 1
+            # a context of several documents is a group by itself, also where no whole window begins
+            hit = (low != high)[group] & (rows + LENGTH <= ends[c])
+            c = c[hit]
+            found.append(np.c_[c, rows[hit] - (ends[c] - n[c]), low[group][hit], high[group][hit]])
+
+        for _, piece in ranked.pieces():
+            rows, same = piece[:, 0], piece[:, 1] >= LENGTH
+            fresh = np.flatnonzero(~same)
+            if not len(fresh):
+                held.append(rows.copy())
+                continue
+            cut = int(fresh[-1])
+            own = np.concatenate([*held, rows[:cut]])
+            if len(own):
+                first = np.r_[np.zeros(len(own) - cut, dtype=bool), ~same[:cut]]
+                first[0] = True
+                close(own, first)
+            held = [rows[cut:].copy()]
+        own = np.concatenate(held)
+        close(own, np.r_[True, np.zeros(len(own) - 1, dtype=bool)])
+        ranked.drop()
+        # by context: boxes of consecutive contexts, each sorted in memory
+        many = max(1, -(-found.n // max(1, self.store.limit)))
+        boxes = [induced.Rows(self.store, 4, max(64, self.store.limit // many)) for _ in range(many)]
+        for _, piece in found.pieces():
+            box = piece[:, 0] * many // len(n)
+            for b in np.unique(box):
+                boxes[b].append(piece[box == b])
+        found.drop()
+        for box in boxes:
+            rows = box.slice(0, box.n)
+            if len(rows):
+                yield rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            box.drop()
+
+    def close(self) -> None:
+        self.store.close()
 
 
 _FOUND = "h long, ctx long, b int, e int, lo long, hi long"
+_FOUND_NAMES = ["h", "ctx", "b", "e", "lo", "hi"]
 
 
-def _sort_shard(folder: str):
+def _sort_shard(folder: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        held = [b for b in held if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        h, ctx, lo, hi, back, size = (table.column(i).to_numpy() for i in range(6))
-        codes = np.frombuffer(b"".join(table.column(6).to_pylist()), dtype="<u4")
-        c, place, low, high = shard_windows(codes, size.astype(np.int64), lo, hi, MEMORY_TUPLES, folder)
-        if not len(c):
-            return
-        by = np.lexsort((place, c))
-        c, place, low, high = c[by], place[by], low[by], high[by]
-        first = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (place[1:] != place[:-1] + 1)])
-        last = np.r_[first[1:], len(c)] - 1
-        k = c[first]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h[k]), pa.array(ctx[k]), pa.array((place[first] - back[k]).astype(np.int32)), pa.array((place[last] + LENGTH - back[k]).astype(np.int32)), pa.array(np.minimum.reduceat(low, first)), pa.array(np.maximum.reduceat(high, first))],
-            names=["h", "ctx", "b", "e", "lo", "hi"],
-        )
+        shard, kept = None, []
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    shard = shard or Shard(limit, folder)
+                    kept.append([batch.column(i).to_numpy() for i in range(6)])
+                    codes = np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype="<u4")
+                    shard.add(codes, kept[-1][5].astype(np.int64))
+            if shard is None:
+                return
+            h, ctx, lo, hi, back, _ = (np.concatenate(x) for x in zip(*kept))
+            del kept
+            for rows in shard.windows(lo, hi):
+                c, place, low, high = rows.T
+                first = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (place[1:] != place[:-1] + 1)])
+                last = np.r_[first[1:], len(c)] - 1
+                k = c[first]
+                columns = [h[k], ctx[k], (place[first] - back[k]).astype(np.int32), (place[last] + LENGTH - back[k]).astype(np.int32), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=_FOUND_NAMES)
+        finally:
+            if shard is not None:
+                shard.close()
 
     return run
 
@@ -155,9 +212,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     texts = base.hint("merge").join(wanted.df, F.col("doc_id") == F.col("doc_id_")).select("text", "wanted")
     words = need.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // SHARD_WORDS))
-    folder = shared_dir(spark) + "/suffix-runs"
-    folder = folder if "://" in folder or folder.startswith("file:") else "file://" + folder
-    found = texts.mapInArrow(_contexts, _NEED).repartition(parts, "h").mapInArrow(_sort_shard(folder), _FOUND)
+    folder = shared_uri(spark) + "/suffix-runs"
+    found = texts.mapInArrow(_contexts, _NEED).repartition(parts, "h").mapInArrow(_sort_shard(folder, MEMORY_ROWS), _FOUND)
     found = Table(found.unionAll(solved))
     wanted.drop()
     other = F.when(F.col("lo") != F.col("doc_id"), F.col("lo")).otherwise(F.col("hi"))

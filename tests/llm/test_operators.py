@@ -232,16 +232,55 @@ def test_bpe_hard_texts():
         assert model.decode(own).decode("utf-8") == text
 
 
-def test_suffix_array_in_memory_and_spilled(tmp_path):
-    rng, spilled = np.random.default_rng(3), 0
-    for _ in range(120):
-        text = np.r_[rng.integers(1, rng.integers(2, 7), rng.integers(1, 70)), 0]
-        expected = sorted(range(len(text)), key=lambda i: list(text[i:]))
-        for limit in (1_000_000, 6):
-            stats = {}
-            assert induced.suffix_array(text, limit, f"file://{tmp_path}/runs", stats).tolist() == expected
-            spilled += stats.get("spilled", 0)
-    assert spilled > 0
+def test_suffix_order_and_common_prefixes_in_memory_and_on_disk(tmp_path):
+    rng, spilled, levels = np.random.default_rng(3), 0, 0
+    for round_ in range(120):
+        text = rng.integers(1, rng.integers(2, 7), rng.integers(1, 70))
+        text = np.r_[np.tile(text, 1 + 3 * (round_ % 5 == 0)), 0]
+        whole = text.tolist()
+        expected = sorted(range(len(text)), key=lambda i: whole[i:])
+        shared = [0] + [next(k for k in range(len(text)) if whole[a + k] != whole[b + k]) for a, b in zip(expected, expected[1:])]
+        for limit in (1_000_000, 13, 6, 1):
+            order, lcp = induced.suffix_array(text, limit, f"file://{tmp_path}/runs", stats := {})
+            assert order.tolist() == expected and lcp.tolist() == shared
+            spilled, levels = spilled + stats["spilled"], max(levels, stats["levels"])
+    assert spilled > 10_000 and levels >= 3
+    assert not [p for p in (tmp_path / "runs").rglob("*") if p.is_file()]  # nothing is left behind
+
+
+def brute_windows(contexts, lo, hi):
+    seen = collections.defaultdict(list)
+    for c, words_ in enumerate(contexts):
+        for k in range(len(words_) - windows.LENGTH + 1):
+            seen[tuple(words_[k : k + windows.LENGTH])].append((c, k))
+    out = []
+    for places in seen.values():
+        low, high = min(lo[c] for c, _ in places), max(hi[c] for c, _ in places)
+        out += [(c, k, low, high) for c, k in places if low != high]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit", [1 << 17, 500, 40])
+def test_a_shard_larger_than_memory(tmp_path, limit):
+    """One passage in very many contexts is one shard: its windows against brute force, with all on disk."""
+    rng = np.random.default_rng(8)
+    passage = rng.integers(0, 1 << 32, 92).astype(np.uint32)
+    contexts, lo = [], []
+    for i in range(150):
+        own = passage.copy()
+        own[: rng.integers(0, 30)] = 7
+        own[60 + rng.integers(0, 32) :] = rng.integers(0, 1 << 32)
+        contexts.append(own[: rng.integers(50, 93)])
+        lo.append(int(rng.integers(0, 90)))
+    hi = [x + int(rng.integers(0, 2)) for x in lo]
+    shard = passages.Shard(limit, f"file://{tmp_path}/runs")
+    for b in range(0, 150, 40):
+        part = contexts[b : b + 40]
+        shard.add(np.concatenate(part), np.array([len(x) for x in part]))
+    got = [tuple(r) for rows in shard.windows(np.array(lo), np.array(hi)) for r in rows.tolist()]
+    assert got == brute_windows([[int(v) >> 1 for v in x] for x in contexts], lo, hi)
+    assert limit > 100_000 or shard.store.spilled > 10 * limit
+    shard.close()
 
 
 def brute_passages(rows):
@@ -259,7 +298,9 @@ def brute_passages(rows):
     return found
 
 
-def test_repeated_passages(spark, docs, empty):
+@pytest.mark.parametrize("limit", [passages.MEMORY_ROWS, 64])
+def test_repeated_passages(spark, docs, empty, monkeypatch, limit):
+    monkeypatch.setattr(passages, "MEMORY_ROWS", limit)
     expected = brute_passages([(r[0], r[1]) for r in rows_of() if r[0] is not None and r[1] is not None])
     got = passages.repeated_passages(docs).collect()
     assert {(r.doc_id, x) for r in got for x in range(r.begin, r.end)} == expected
@@ -275,7 +316,10 @@ def test_repeated_passages_where_rows_share_an_id(spark):
     assert got == brute_passages([(1, one), (1, two), (2, "lead in " + one), (3, two + " tail"), (4, one + " and more")])
 
 
-def test_repeated_passages_of_documents(spark):
+@pytest.mark.parametrize("limit", [passages.MEMORY_ROWS, 2000])
+def test_repeated_passages_of_documents(spark, monkeypatch, limit):
+    """The second limit is far below the size of a shard, so that text, queues and orders are files."""
+    monkeypatch.setattr(passages, "MEMORY_ROWS", limit)
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     expected = brute_passages([(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()])
     assert {(r.doc_id, x) for r in passages.repeated_passages(frame).collect() for x in range(r.begin, r.end)} == expected
