@@ -56,6 +56,14 @@ class Table:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(df: DataFrame, *tables: Table) -> DataFrame:
+    """df written, so that the tables it was made from can go."""
+    out = Table(df)
+    for table in tables:
+        table.drop()
+    return out.df
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Mark a counted side of narrow rows for broadcast when it is small; otherwise leave the join to shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import Table, fitting, small
+from latticework.llm.common import Table, fitting, settled, small
 
 FIRST_DIGIT, WIDEN = 64, 4
 
@@ -61,16 +61,16 @@ def _copies(docs: DataFrame) -> DataFrame:
         last.drop()
         groups.drop()
         ended_pairs = Table(split.df.where("ended").select("doc_id", "hash", F.col("low").alias("keep_id"), "grp").distinct())
-        found.append(ended_pairs.df)
+        found.append(ended_pairs)
         last = Table(split.df.where("not ended").select("doc_id", "hash", "row", "grp", "rest"))
         split.drop()
         if last.df.isEmpty():
             last.drop()
             break
         width *= WIDEN
-    pairs = reduce(DataFrame.unionAll, found)
+    pairs = reduce(DataFrame.unionAll, (t.df for t in found))
     copies = pairs.groupBy("grp").agg(F.count("*").alias("copies"))
-    return pairs.where("doc_id <> keep_id").join(copies, "grp").select("doc_id", "hash", "keep_id", "copies")
+    return settled(pairs.where("doc_id <> keep_id").join(copies, "grp").select("doc_id", "hash", "keep_id", "copies"), *found)
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:

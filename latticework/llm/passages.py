@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.llm import induced, windows
-from latticework.llm.common import Table, ragged, shared_uri, slices
+from latticework.llm.common import Table, ragged, settled, shared_uri, slices
 
 LENGTH = windows.LENGTH
 SHARD_WORDS, MEMORY_ROWS = 500_000, 1 << 17
@@ -224,4 +224,4 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spans = spans.withColumn("fresh", F.when(before.isNull() | (F.col("b") > before), 1).otherwise(0))
     spans = spans.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = spans.groupBy("doc_id", "run").agg(F.min("b").alias("begin"), F.max("e").alias("end"), F.min("other").alias("other_doc_id"))
-    return merged.select("doc_id", "begin", "end", (F.col("end") - F.col("begin")).alias("words"), "other_doc_id")
+    return settled(merged.select("doc_id", "begin", "end", (F.col("end") - F.col("begin")).alias("words"), "other_doc_id"), hot, classes, found)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm import golay
-from latticework.llm.common import Grown, Table, Words, batch_of, slices, small
+from latticework.llm.common import Grown, Table, Words, batch_of, settled, slices, small
 from latticework.llm.components import components
 from latticework.llm.exact import without
 from latticework.llm.windows import mix
@@ -226,14 +226,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * 61 * TABLES // 1_000_000))
     placed = nodes.df.select("f0", "f1", "f2").mapInArrow(_replicate(parts), "slot int, placed binary")
     edges = Table(placed.repartition(parts, "slot").mapInArrow(_compare, ", ".join(f"{x} long" for x in _EDGE)).distinct())
+    named = edges.df
     for side in "ab":
         names = nodes.df.select(*(F.col(f"f{i}").alias(f"{side}{i}") for i in range(3)), F.col("node").alias(side))
-        joined = edges.df.join(names, [f"{side}{i}" for i in range(3)])
-        edges.df = joined
-    roots = components(edges.df.select("a", "b"))
+        named = named.join(names, [f"{side}{i}" for i in range(3)])
+    roots = components(named.select("a", "b"))
     known = nodes.df.join(small(roots.df.withColumnRenamed("node", "node_"), roots.df.count()), F.col("node") == F.col("node_"), "left")
     known = known.where("n > 1 or root is not null").select("f0", "f1", "f2", F.coalesce("root", "node").alias("keep_id"))
-    return one.join(known, ["f0", "f1", "f2"]).where("doc_id <> keep_id").select("doc_id", "keep_id")
+    return settled(one.join(known, ["f0", "f1", "f2"]).where("doc_id <> keep_id").select("doc_id", "keep_id"), prints, nodes, edges, roots)
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
