@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from latticework.functions import points as P
 from latticework.functions.points import Vec
 from latticework.model import AXES, ChunkSpec, Extent, Orthant
 from latticework.operators import clipmap, maps, mesh, neighbours, octree, pyramid, search
+from latticework.operators.plumbing import shared_folder
 from latticework.sources import chunk_table, scan
 from latticework.sources.tables import SDF, heights, part_points, sdf_chunks, table
 
@@ -92,28 +95,36 @@ def a5_flat_buffers(spark, sf):
     return rounded(scan.from_arrays(e, Extent((0, 0, 0), (4, 4, 4))), "v")
 
 
-def clustered(spark, sf) -> DataFrame:
-    return chunk_table.clustered(sdf_chunks(spark, sf).select("lod", "cx", "cy", "cz", "label"), SDF)
+STORED = ChunkSpec(SDF.shape, {"label": 0}, SDF.root_lod)
+
+
+def stored(spark, sf) -> chunk_table.ChunkTable:
+    """The chunks' labels as a table on disk, sorted by Morton key."""
+    path = f"{shared_folder(spark)}/lattice/{uuid.uuid4().hex}"
+    out = chunk_table.ChunkTable(spark, path, STORED)
+    out.create(sdf_chunks(spark, sf).select("lod", "cx", "cy", "cz", "label"))
+    return out
 
 
 @query("select cx, cy, cz, label from chunks where cx < 16 and cy < 16 and cz < 16")
 def a10_orthant_scan(spark, sf):
-    return chunk_table.read_orthant(clustered(spark, sf), 0, Orthant((0, 0, 0), 4)).select("cx", "cy", "cz", "label")
+    return stored(spark, sf).read(where=chunk_table.in_orthants(F.col("morton"), 0, [Orthant((0, 0, 0), 4)])).select("cx", "cy", "cz", "label")
 
 
 @query("select cx, cy, cz, label from chunks where cx < 16 and cy < 16 and cz < 16")
 def a11_covering_scan(spark, sf):
-    return chunk_table.read_covering(clustered(spark, sf), 0, Extent((3, 3, 3), (10, 6, 6)), 3).select("cx", "cy", "cz", "label")
+    return stored(spark, sf).read(where=chunk_table.in_orthants(F.col("morton"), 0, Orthant.covering(Extent((3, 3, 3), (10, 6, 6)), 3))).select("cx", "cy", "cz", "label")
 
 
 @query("select cx, cy, cz, label from chunks where cx between 3 and 12 and cy between 3 and 8 and cz between 3 and 8")
 def a11_covering_scan_exact(spark, sf):
-    return chunk_table.read_covering(clustered(spark, sf), 0, Extent((3, 3, 3), (10, 6, 6)), 3, True, SDF).select("cx", "cy", "cz", "label")
+    box = Extent((3, 3, 3), (10, 6, 6))
+    return stored(spark, sf).read(where=chunk_table.in_orthants(F.col("morton"), 0, Orthant.covering(box, 3)) & maps.in_extent(box, maps.keys(SDF))).select("cx", "cy", "cz", "label")
 
 
 @query("select cx, cy, cz, label from chunks")
 def a12_level_scan(spark, sf):
-    return chunk_table.range_scan(clustered(spark, sf), 0).select("cx", "cy", "cz", "label")
+    return stored(spark, sf).read(where=F.col("lod") == 0).select("cx", "cy", "cz", "label")
 
 
 def _key_sql(names, lod=None) -> str:
@@ -124,7 +135,7 @@ def _key_sql(names, lod=None) -> str:
 
 @query(f"select cx, cy, cz, label from (select *, {_key_sql(('cx', 'cy', 'cz'))} as k from chunks) where k >= {morton.key_of((4, 0, 0))}::hugeint and k < {morton.key_of((16, 16, 8))}::hugeint")
 def a13_morton_range(spark, sf):
-    return chunk_table.range_scan(clustered(spark, sf), 0, morton.key_of((4, 0, 0)), morton.key_of((16, 16, 8)), high_open=True).select("cx", "cy", "cz", "label")
+    return stored(spark, sf).read(where=chunk_table.in_range(F.col("morton"), 0, morton.key_of((4, 0, 0)), morton.key_of((16, 16, 8)), high_open=True)).select("cx", "cy", "cz", "label")
 
 
 @query("select v, count(*) as n from (select case when sqrt(x*x + y*y + z*z) < 15 then 1 else 0 end as v from (select unnest(range(-16, 16)) as x) cross join (select unnest(range(-16, 16)) as y) cross join (select unnest(range(-16, 16)) as z)) group by v")
@@ -132,13 +143,34 @@ def a17_solid_sphere(spark, sf):
     return scan.solid_sphere(spark, 32).groupBy("v").agg(F.count("*").alias("n"))
 
 
+def _noise_sql() -> str:
+    """Six octaves of noise at x, y, z, a select an octave."""
+    def hashed(i: int) -> str:
+        prime = (1 << 31) - 1
+        h = " + ".join(f"(c{a} + {i >> k & 1}) * {m}" for k, (a, m) in enumerate(zip(AXES, fields.NOISE_FACTORS))) + " + s * 40503"
+        h = f"((({h}) % {prime}) + {prime}) % {prime}"
+        for _ in range(2):
+            h = f"(({h}) * ({h}) + ({h}) * 48271 + 11) % {prime}" if _ == 0 else f"(h{i} * h{i} + h{i} * 48271 + 11) % {prime}"
+            if _ == 0:
+                first = h
+        return first, f"(({h}) % 1000003) / 500001.0::double - 1.0"
+    firsts = ", ".join(f"{hashed(i)[0]} as h{i}" for i in range(8))
+    v = [hashed(i)[1] for i in range(8)]
+    names = ", ".join(f"{x} as v{i}" for i, x in enumerate(v))
+    lin = [f"v{i}" for i in range(8)]
+    for a in AXES:
+        lin = [f"({lin[i]} * (1 - t{a}) + {lin[i + 1]} * t{a})" for i in range(0, len(lin), 2)]
+    points = "(select unnest(range(-4, 12)) as x) cross join (select unnest(range(-4, 12)) as y) cross join (select unnest(range(0, 2)) as z)"
+    q = ", ".join(f"{a} * 0.25::double * (1 << o) - floor({a} * 0.25::double * (1 << o)) as t{a}, floor({a} * 0.25::double * (1 << o))::bigint as c{a}" for a in AXES)
+    return f"""select x, y, z, round(sum({lin[0]} / (1 << o)) / {sum(0.5**o for o in range(6))}, 6) + 0.0 as v from (select *, {names} from (select *, {firsts} from (
+      select x, y, z, o, 1010 + o as s, {q} from {points} cross join (select unnest(range(6)) as o)))) group by x, y, z"""
+
+
+@query(_noise_sql())
 def a16_noise(spark, sf):
     return rounded(scan.noise(spark, Extent((-4, -4, 0), (16, 16, 2)), 0.25, 1010, 6), "v")
 
 
-_QUERIES["a16_noise"] = a16_noise
-
-
 # keys
 @query(f"select distinct x, y, z, cast({_key_sql(('x', 'y', 'z'))} as varchar) as key from pts")
 def i2_morton_3d(spark, sf):
@@ -341,7 +373,7 @@ def e16_spheres(spark, sf):
 @query("select b.id, count(*) as n from boxes b join pts p on p.x >= b.x and p.x < b.x + b.sx and p.y >= b.y and p.y < b.y + b.sy and p.z >= b.z and p.z < b.z + b.sz group by b.id")
 def f1_points_in_boxes(spark, sf):
     b = boxes(spark, sf).select("id", *[F.col(a).alias(f"{a}0") for a in AXES], *box_of().lub.named("x1", "y1", "z1"))
-    return neighbours.points_in_boxes(part_points(spark, sf), b, ChunkSpec((4, 4, 4))).groupBy("id").agg(F.count("*").alias("n"))
+    return neighbours.count_in_boxes(part_points(spark, sf), b, ChunkSpec((4, 4, 4)))
 
 
 @query(f"select distinct a.x, a.y, a.z from sdf a cross join axis3 d left join sdf b on b.x = a.x + d.dx and b.y = a.y + d.dy and b.z = a.z + d.dz and b.v < 0 where a.v < 0 and b.x is null and a.{IN_BOX.replace(' and ', ' and a.').replace('between 2 and a.21', 'between 2 and 21').replace('between 3 and a.19', 'between 3 and 19').replace('between 1 and a.11', 'between 1 and 11')}")
@@ -450,9 +482,9 @@ def f10_k16_octree_children(spark, sf):
     return octree.children(octree.roll_up(part_points(spark, sf), 2))
 
 
-@query("select s as level, 8 * (x // 8) + (1 << s) * i as x, 8 * (y // 8) + (1 << s) * j as y, 8 * (z // 8) + (1 << s) * k as z from (select distinct x // 8 * 8 as x, y // 8 * 8 as y, z // 8 * 8 as z from pts where z < 16) cross join (select unnest(range(4))::integer as s), lateral (select unnest(range(8 >> s)) as i) a, lateral (select unnest(range(8 >> s)) as j) b, lateral (select unnest(range(8 >> s)) as k) c")
+@query("select s as level, 8 * (x // 8) + (1 << s) * i as x, 8 * (y // 8) + (1 << s) * j as y, 8 * (z // 8) + (1 << s) * k as z from (select distinct x // 8 * 8 as x, y // 8 * 8 as y, z // 8 * 8 as z from pts) cross join (select unnest(range(4))::integer as s), lateral (select unnest(range(8 >> s)) as i) a, lateral (select unnest(range(8 >> s)) as j) b, lateral (select unnest(range(8 >> s)) as k) c")
 def k12_octant_descendants(spark, sf):
-    eight = part_points(spark, sf).where("z < 16").select(F.lit(3).alias("level"), *[(F.col(a) - F.col(a) % 8).alias(a) for a in AXES]).distinct()
+    eight = part_points(spark, sf).select(F.lit(3).alias("level"), *[(F.col(a) - F.col(a) % 8).alias(a) for a in AXES]).distinct()
     return octree.descendants(eight)
 
 
@@ -488,9 +520,60 @@ def h1_h8_neighbour_sums(spark, sf):
 
 @query("select a.x, a.y, round(sum(coalesce(b.h, 0)), 6) as around from heights a cross join (select unnest(range(-1, 2)) as dx) cross join (select unnest(range(-1, 2)) as dy) left join heights b on b.x = a.x + dx and b.y = a.y + dy where not (dx = 0 and dy = 0) group by 1, 2")
 def h2_moore_sums_2d(spark, sf):
-    h = heights(spark, sf)
-    sent = P.neighbours(h, P.MOORE_2, ("x", "y"), ("nx", "ny")).groupBy(F.col("nx").alias("x"), F.col("ny").alias("y")).agg(F.sum("h").alias("s"))
-    return rounded(h.join(sent, ["x", "y"], "left").select("x", "y", F.coalesce("s", F.lit(0.0)).alias("around")), "around")
+    return rounded(neighbours.neighbour_sum(heights(spark, sf), P.MOORE_2, "h").select("x", "y", "around"), "around")
+
+
+@query("select a.x, a.y from (select distinct x, y from heights where h > 0) a where a.x between 1 and 30 and a.y between 2 and 29 and exists (select 1 from (values (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy) where not exists (select 1 from heights b where b.x = a.x + dx and b.y = a.y + dy and b.h > 0))")
+def f5_surface_points_2d(spark, sf):
+    return neighbours.surface_points(heights(spark, sf).where("h > 0").select("x", "y"), Extent((1, 2), (30, 28)))
+
+
+@query("""select a.x, a.y, a.z, round(a.v, 6) as v0, round(coalesce(-b.v, 1.0), 6) as v1, round(coalesce(c.v + 1, 1.0), 6) as v2 from sdf a
+  left join (select * from sdf where label <> 3) b using (x, y, z) left join (select * from sdf where label > 4) c using (x, y, z)""")
+def c3_zip_three_maps(spark, sf):
+    c = sdf_chunks(spark, sf)
+    one, spec = c.select("cx", "cy", "cz", "v"), ChunkSpec(SDF.shape, {"v": 1.0}, SDF.root_lod)
+    two = c.where("label <> 3").select("cx", "cy", "cz", F.transform("v", lambda x: -x).alias("v"))
+    three = c.where("label > 4").select("cx", "cy", "cz", F.transform("v", lambda x: x + 1).alias("v"))
+    return rounded(maps.zip_maps(spec, one, two, three), "v0", "v1", "v2")
+
+
+@query("select x // 2 as x, y // 2 as y, z // 2 as z, round(max(v), 6) as v from sdf group by all")
+def p9_own_sampler(spark, sf):
+    spec = ChunkSpec(SDF.shape, {"v": 1.0}, SDF.root_lod)
+    return rounded(pyramid.sampled(sdf_points(spark, sf).drop("label"), spec, F.array_max), "v")
+
+
+@query("""select cx, cy, cz, round(sum(v), 4) as total from (select x - x % 4 as cx, y - y % 4 as cy, z - z % 4 as cz, v from
+  (select x // 2 as x, y // 2 as y, z // 2 as z, sum(label + 0.5) / 16 as v from sdf where (cx >> 4) << 2 = 4 and (cy >> 4) << 2 = 0 and (cz >> 4) << 2 = 0 group by all)) group by all""")
+def g5_g7_downsample_descendants(spark, sf):
+    c = sdf_chunks(spark, sf)
+    spec = ChunkSpec(SDF.shape, {"v": 0.0}, SDF.root_lod)
+    other = c.select("lod", "cx", "cy", "cz", maps.ambient_array(F.col("label") + 0.5, spec).alias("v"))
+    made = pyramid.downsample_under(c, spec, 2, (4, 0, 0), lod0=other, target=c.where("label < 0"))
+    return rounded(made.where("lod = 1").select("cx", "cy", "cz", F.aggregate("v", F.lit(0.0), lambda a, b: a + b).alias("total")), "total", digits=4)
+
+
+@query("select version, lod, count(*) as changes, count(*) filter (where op = 'i') as inserts, count(*) filter (where op = 'r') as removes from (select 0 as version, 0 as lod, 'i' as op from chunks union all select 1, 0, case when label = 2 then 'r' else 'i' end from chunks where label in (2, 3)) group by all")
+def b12_g15_storage(spark, sf):
+    t = stored(spark, sf)
+    c = sdf_chunks(spark, sf).select("lod", "cx", "cy", "cz", "label")
+    t.snapshot()
+    t.commit(chunk_table.deltas(c.where("label = 3"), STORED, c.where("label = 2")))
+    return t.storage()
+
+
+@query("select cx, cy, cz, case when label = 3 then 100 else label end as label from chunks where label <> 2")
+def b9_b14_versions(spark, sf):
+    """The child of a snapshot; the changes of a sibling don't show."""
+    t = stored(spark, sf)
+    c = sdf_chunks(spark, sf).select("lod", "cx", "cy", "cz", "label")
+    child = t.snapshot()
+    t.commit(chunk_table.deltas(c.where("label = 3").withColumn("label", F.lit(100).cast("long")), STORED, c.where("label = 2")))
+    t.set_current(0)
+    t.snapshot()
+    t.commit(chunk_table.deltas(c.where("label = 1").withColumn("label", F.lit(7).cast("long")), STORED))
+    return t.read(child).select("cx", "cy", "cz", "label")
 
 
 @query("""select cx, cy, cz, count(*) as n, round(sum(v), 5) as total from (select c.cx, c.cy, c.cz, s.v from chunks c join sdf s on s.x between c.cx - 1 and c.cx + 4 and s.y between c.cy - 1 and c.cy + 4 and s.z between c.cz - 1 and c.cz + 4) group by all""")
@@ -501,13 +584,13 @@ def h7_halo_exchange(spark, sf):
 
 
 # search
-RAYS = "rays as (select c_custkey as ray_id, (c_custkey % 31) + 0.5 as sx, (c_nationkey % 29) + 0.5 as sy, -3.0 as sz, (c_custkey % 5 - 2) * 0.25 as vx, (c_nationkey % 3 - 1) * 0.5 as vy, 1.0 as vz, 30.0 as max_toi from customer where c_custkey <= 400)"
+RAYS = "rays as (select c_custkey as ray_id, (c_custkey % 31) + 0.5 as sx, (c_nationkey % 29) + 0.5 as sy, -3.0 as sz, (c_custkey % 5 - 2) * 0.25 as vx, (c_nationkey % 3 - 1) * 0.5 as vy, 1.0 as vz, 30.0 as max_toi from customer)"
 
 
 def rays(spark, sf) -> DataFrame:
     c, n = F.col("c_custkey"), F.col("c_nationkey").cast("long")
     d = lambda v: v.cast("double")
-    return table(spark, sf, "customer").where(c <= 400).select(
+    return table(spark, sf, "customer").select(
         c.alias("ray_id"), d(c % 31 + 0.5).alias("sx"), d(n % 29 + 0.5).alias("sy"), F.lit(-3.0).alias("sz"), d((c % 5 - 2) * 0.25).alias("vx"), d((n % 3 - 1) * 0.5).alias("vy"), F.lit(1.0).alias("vz"), F.lit(30.0).alias("max_toi")
     )
 
@@ -521,21 +604,62 @@ def _slab(a: str, which: str) -> str:
 
 
 @query(f""", {RAYS}, hits as (select r.ray_id, p.x, p.y, p.z, greatest(0, {', '.join(_slab(a, 'near') for a in AXES)}) as near, least(r.max_toi, {', '.join(_slab(a, 'far') for a in AXES)}) as far
-  from rays r cross join (select distinct x, y, z from pts where z < 40) p)
+  from rays r cross join (select distinct x, y, z from pts) p)
   select ray_id, x, y, z, round(near::double, 6) as toi from (select *, row_number() over (partition by ray_id order by near, z, y, x) as k from hits where near <= far) where k = 1""")
 def l3_f11_cast_rays(spark, sf):
-    return rounded(search.cast_rays(rays(spark, sf), part_points(spark, sf).where("z < 40").distinct()), "toi")
+    return rounded(search.cast_rays(rays(spark, sf), part_points(spark, sf).distinct(), ChunkSpec((4, 4, 4))), "toi")
+
+
+def _walk_sql(n: int) -> str:
+    """The walk in single precision: of equal crossings the later axis goes first."""
+    first = ", ".join(f"floor(s{a})::bigint as {a}, case when v{a} >= 0 then 1 else -1 end as d{a}, case when v{a} = 0 then 'inf'::float else 1::float / abs(v{a}::float) end as e{a}, case when v{a} = 0 then 'inf'::float else ((floor(s{a}) + case when v{a} >= 0 then 1 else 0 end)::float - s{a}::float) / v{a}::float end as t{a}" for a in AXES)
+    goes = {"z": "tz <= ty and tz <= tx", "y": "not (tz <= ty and tz <= tx) and ty <= tx", "x": "not (tz <= ty and tz <= tx) and not ty <= tx"}
+    moved = ", ".join(f"{a} + case when {goes[a]} then d{a} else 0 end, d{a}, e{a}, case when {goes[a]} then (t{a} + e{a})::float else t{a} end" for a in AXES)
+    names = ", ".join(f"{a}, d{a}, e{a}, t{a}" for a in AXES)
+    return f"""select ray_id, step, x, y, z from (with recursive walk(ray_id, step, {names}) as (select ray_id, 0, {first} from rays
+      union all select ray_id, step + 1, {moved} from walk where step + 1 < {n}) select ray_id, step::integer as step, x, y, z from walk)"""
 
 
+@query(f", {RAYS} {_walk_sql(12)}")
 def l1_ray_cells(spark, sf):
     return search.ray_cells(rays(spark, sf), 12)
 
 
+BALL = 0.75
+
+
+def _ball_sql() -> str:
+    """Least time at which the centre enters one of three grown boxes, twelve cylinders or eight balls."""
+    times = []
+    for grown in AXES:
+        near, far = [], []
+        for a in AXES:
+            lo, hi = (f"(q{a} + {BALL})", f"(q{a} - 1 - {BALL})") if a == grown else (f"q{a}", f"(q{a} - 1)")
+            t0, t1, inside = f"-{lo} / v{a}", f"-{hi} / v{a}", f"{lo} >= 0 and {hi} <= 0"
+            near.append(f"case when v{a} <> 0 then least({t0}, {t1}) when {inside} then 0 else 1e300 end")
+            far.append(f"case when v{a} <> 0 then greatest({t0}, {t1}) when {inside} then 1e300 else -1e300 end")
+        near, far = f"greatest(0, {', '.join(near)})", f"least({', '.join(far)})"
+        times.append(f"case when {near} <= {far} then {near} else 1e300 end")
+    for along, corner in [*search._EDGES, *((None, c) for c in search._CORNERS)]:
+        across = [(a, c) for k, (a, c) in enumerate(zip(AXES, corner)) if k != along]
+        a2 = " + ".join(f"v{a} * v{a}" for a, _ in across)
+        b2 = " + ".join(f"(q{a} - {c}) * v{a}" for a, c in across)
+        c2 = " + ".join(f"(q{a} - {c}) * (q{a} - {c})" for a, c in across) + f" - {BALL * BALL}"
+        root = f"({b2}) * ({b2}) - ({a2}) * ({c2})"
+        t = f"case when {c2} <= 0 then 0 when {root} >= 0 and {b2} < 0 then (-({b2}) - sqrt(greatest(0, {root}))) / ({a2}) else 1e300 end"
+        if along is not None:
+            x = AXES[along]
+            t = f"case when q{x} + least({t}, 1e9) * v{x} between 0 and 1 then {t} else 1e300 end"
+        times.append(t)
+    return f"least({', '.join(times)})"
+
+
+@query(f""", {RAYS}, near as (select r.*, p.x, p.y, p.z, r.sx - p.x as qx, r.sy - p.y as qy, r.sz - p.z as qz from rays r join (select distinct x, y, z from pts) p
+    on p.x between least(r.sx, r.sx + 30 * r.vx) - 2 and greatest(r.sx, r.sx + 30 * r.vx) + 1 and p.y between least(r.sy, r.sy + 30 * r.vy) - 2 and greatest(r.sy, r.sy + 30 * r.vy) + 1 and p.z between -5 and 28
+    and abs((p.x + 0.5 - r.sx) - r.vx * (p.z + 0.5 - r.sz)) <= 3 and abs((p.y + 0.5 - r.sy) - r.vy * (p.z + 0.5 - r.sz)) <= 3)
+  select ray_id, x, y, z, toi from (select *, row_number() over (partition by ray_id order by toi, z, y, x) as k from (select *, round(t, 6) as toi from (select *, {_ball_sql()} as t from near) where t <= max_toi)) where k = 1""")
 def l4_cast_balls(spark, sf):
-    return search.cast_balls(rays(spark, sf).where("ray_id <= 60"), part_points(spark, sf).where("z between 5 and 8").distinct(), 0.75)
-
-
-_QUERIES |= {"l1_ray_cells": l1_ray_cells, "l4_cast_balls": l4_cast_balls}
+    return search.cast_balls(rays(spark, sf), part_points(spark, sf).distinct(), BALL, ChunkSpec((4, 4, 4)))
 
 
 @query("""select x, y, z from (with recursive seed as (select x, y, z from sdf where v < 0 order by z, y, x limit 1), fill(x, y, z) as (select x, y, z from sdf where v < 0 and x = (select x from seed) and y = (select y from seed) and z = (select z from seed)
@@ -572,7 +696,12 @@ def l9_greedy_paths(spark, sf):
 _QUERIES |= {"l8_astar_paths": l8_astar_paths, "l9_greedy_paths": l9_greedy_paths}
 
 # meshes
-MESH = Extent((0, 0, 0), (16, 16, 16))
+def world(spark, sf) -> Extent:
+    """All whole layers of stored chunks."""
+    return Extent((0, 0, 0), (32, 32, table(spark, sf, "embeddings").count() // 64 * 4))
+
+
+_TOP = "(select 4 * (count(*) // 64) from embeddings)"
 
 
 def _vertex_sql() -> str:
@@ -585,35 +714,49 @@ def _vertex_sql() -> str:
         return " + ".join(f"case when {c} then {i >> a & 1} + c{i} / nullif(c{i} - c{j}, 0) * {(j >> a & 1) - (i >> a & 1)} else 0 end" for (i, j), c in crossed.items())
 
     return f"""select x, y, z, {', '.join(f"round({ax} + ({axis(a)}) / ({n}) + 0.5, 5) as p{ax}" for a, ax in enumerate(AXES))} from (
-      select g.x, g.y, g.z, {', '.join(corner)} from (select x, y, z from sdf where x < 15 and y < 15 and z < 15) g join sdf s on s.x between g.x and g.x + 1 and s.y between g.y and g.y + 1 and s.z between g.z and g.z + 1
-      where s.x < 16 and s.y < 16 and s.z < 16 group by all) where ({below}) between 1 and 7"""
+      select g.x, g.y, g.z, {', '.join(corner)} from (select x, y, z from sdf where x < 31 and y < 31 and z < {_TOP} - 1) g join sdf s on s.x between g.x and g.x + 1 and s.y between g.y and g.y + 1 and s.z between g.z and g.z + 1
+      where s.x < 32 and s.y < 32 and s.z < {_TOP} group by all) where ({below}) between 1 and 7"""
 
 
 @query(_vertex_sql())
 def m2_surface_net_vertices(spark, sf):
-    s = maps.read_extent(sdf_chunks(spark, sf), SDF, MESH)
-    return rounded(mesh.vertices(mesh.cells(s, MESH)), "px", "py", "pz", digits=5).select(*AXES, "px", "py", "pz")
+    box = world(spark, sf)
+    s = maps.read_extent(sdf_chunks(spark, sf), SDF, box)
+    return rounded(mesh.vertices(mesh.cells(s, box)), "px", "py", "pz", digits=5).select(*AXES, "px", "py", "pz")
 
 
-@query("""select ['x', 'y', 'z'][d.d // 2 + 1] as axis, a.x, a.y, a.z, a.v < 0 as inward from sdf a join axis3 d on d.d % 2 = 1 join sdf b on b.x = a.x + d.dx and b.y = a.y + d.dy and b.z = a.z + d.dz
-  where (a.v < 0) <> (b.v < 0) and b.x < 16 and b.y < 16 and b.z < 16 and a.x < 15 and a.y < 15 and a.z < 15 and case d.d when 1 then a.x <> 14 and a.y <> 0 and a.z <> 0 when 3 then a.y <> 14 and a.x <> 0 and a.z <> 0 else a.z <> 14 and a.x <> 0 and a.y <> 0 end""")
+@query(f"""select ['x', 'y', 'z'][d.d // 2 + 1] as axis, a.x, a.y, a.z, a.v < 0 as inward from sdf a join axis3 d on d.d % 2 = 1 join sdf b on b.x = a.x + d.dx and b.y = a.y + d.dy and b.z = a.z + d.dz
+  where (a.v < 0) <> (b.v < 0) and b.x < 32 and b.y < 32 and b.z < {_TOP} and a.x < 31 and a.y < 31 and a.z < {_TOP} - 1 and case d.d when 1 then a.x <> 30 and a.y <> 0 and a.z <> 0 when 3 then a.y <> 30 and a.x <> 0 and a.z <> 0 else a.z <> {_TOP} - 2 and a.x <> 0 and a.y <> 0 end""")
 def m4_surface_quads(spark, sf):
-    return mesh.surface_quads(maps.read_extent(sdf_chunks(spark, sf), SDF, MESH), MESH)
+    box = world(spark, sf)
+    return mesh.surface_quads(maps.read_extent(sdf_chunks(spark, sf), SDF, box), box)
 
 
 def m1_surface_nets(spark, sf):
-    return mesh.surface_nets(maps.read_extent(sdf_chunks(spark, sf), SDF, MESH), MESH)[1]
+    box = world(spark, sf)
+    return mesh.surface_nets(maps.read_extent(sdf_chunks(spark, sf), SDF, box), box)[1]
 
 
 def m13_flat_shading(spark, sf):
-    return rounded(mesh.flat_shaded(*mesh.surface_nets(maps.read_extent(sdf_chunks(spark, sf), SDF, MESH), MESH)), "px", "py", "pz", "nx", "ny", "nz", digits=5)
+    return rounded(mesh.flat_shaded(*mesh.surface_nets(maps.read_extent(sdf_chunks(spark, sf), SDF, world(spark, sf)), world(spark, sf))), "px", "py", "pz", "nx", "ny", "nz", digits=5)
 
 
 def m5_greedy_quads(spark, sf):
-    s = part_points(spark, sf).where("z < 12").distinct().withColumns({"m": F.floor((F.col("x") + F.col("y")) / 9), "opaque": F.lit(True)})
+    s = part_points(spark, sf).distinct().withColumns({"m": F.floor((F.col("x") + F.col("y")) / 9), "opaque": F.lit(True)})
     return mesh.greedy_quads(s)
 
 
+@query("""select ['x', 'y', 'z'][d.d // 2 + 1] as axis, case when d.d % 2 = 0 then -1 else 1 end as sign, a.x, a.y, a.z, (a.x + a.y) // 9 as value from (select distinct x, y, z from pts) a cross join axis3 d
+  left join (select distinct x, y, z from pts) b on b.x = a.x + d.dx and b.y = a.y + d.dy and b.z = a.z + d.dz where b.x is null""")
+def m5_cells_of_greedy_quads(spark, sf):
+    """What the quads cover, each cell as often as a quad has it: the visible faces, once each."""
+    q = m5_greedy_quads(spark, sf)
+    cells = q.withColumn("du", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1))).withColumn("dv", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)))
+    on = {"x": ("y", "z"), "y": ("z", "x"), "z": ("x", "y")}
+    at = [(F.col(a) + sum((F.when(F.col("axis") == n, F.col("du") if a == u else F.col("dv") if a == v else F.lit(0)).otherwise(0) for n, (u, v) in on.items()), F.lit(0))).cast("long").alias(a) for a in AXES]
+    return cells.select("axis", "sign", *at, F.col("value").cast("long").alias("value"))
+
+
 _QUERIES |= {"m1_surface_nets": m1_surface_nets, "m13_flat_shading": m13_flat_shading, "m5_greedy_quads": m5_greedy_quads}
 LAND = Extent((0, 1), (32, 30))
 

@@ -57,11 +57,19 @@ def smooth_union(a: Column, b: Column, k: float) -> Column:
     return b + (a - b) * h - k * h * (1.0 - h)
 
 
+NOISE_FACTORS = (73_856_093, 19_349_663, 83_492_791)
+
+
 def noise(p: Vec, frequency: float, seed: int, octaves: int = 1) -> Column:
-    """Fractal value noise in [-1, 1] from a hash of the cell corners, linear between them."""
+    """Fractal value noise in [-1, 1] from a hash of the cell corners (two squarings modulo a prime), linear
+    between them."""
 
     def corner(cell: Vec, s: int) -> Column:
-        return F.pmod(F.xxhash64(*cell.parts, F.lit(s)), F.lit(1_000_003)) / 500_001.0 - 1.0
+        prime = F.lit((1 << 31) - 1).cast("long")
+        h = F.pmod(sum((c.cast("long") * m for c, m in zip(cell.parts, NOISE_FACTORS)), F.lit(s * 40_503).cast("long")), prime)
+        for _ in range(2):
+            h = F.pmod(h * h + h * 48_271 + 11, prime)
+        return F.pmod(h, F.lit(1_000_003)) / 500_001.0 - 1.0
 
     total, weight, norm = F.lit(0.0), 1.0, 0.0
     for o in range(octaves):

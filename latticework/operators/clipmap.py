@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from latticework.functions.points import Vec
 from latticework.model import ChunkSpec
 from latticework.operators.maps import axes, keys
+from latticework.operators.plumbing import Table
 from latticework.operators.pyramid import child_key, parent_key
 
 LOADING, RENDER = 0, 1
@@ -44,28 +45,50 @@ def new_slots(old: DataFrame, new: DataFrame, spec: ChunkSpec, lod: int, detail:
     return sphere_slots(new, spec, lod, detail).join(before, ["id", *keys(spec)], "left_anti")
 
 
+def nearest_ancestors(chunks: DataFrame, spec: ChunkSpec) -> tuple[Table, Table]:
+    """(chunks without a present ancestor; edges from each other chunk to its nearest present one), by joins on
+    keys, a level apart at a time."""
+    left = chunks.select("lod", *keys(spec)).distinct()
+    there = left.select(F.col("lod").alias("plod"), *[F.col(k).alias(f"p{k}") for k in keys(spec)])
+    edges = []
+    for up in range(1, spec.root_lod + 1):
+        above = parent_key(Vec.of(*keys(spec)), spec, up)
+        keyed = left.withColumns({**{f"p{k}": v for k, v in zip(keys(spec), above.parts)}, "plod": F.col("lod") + up})
+        on = ["plod", *[f"p{k}" for k in keys(spec)]]
+        edges.append(keyed.join(there, on, "left_semi").select("lod", *keys(spec), *on))
+        left = keyed.join(there, on, "left_anti").select("lod", *keys(spec))
+    empty = left.where("false").select("*", F.lit(0).alias("plod"), *[F.col(k).alias(f"p{k}") for k in keys(spec)])
+    return Table(left), Table(reduce(DataFrame.unionByName, edges, empty))
+
+
 def active(chunks: DataFrame, observers: DataFrame, spec: ChunkSpec, detail: float) -> DataFrame:
     """(id, lod, key) of chunks to render for each observer (id, x, y, z): those far enough for their
-    level, or of level 0, with no such ancestor."""
+    level, or of level 0, with no such ancestor. From the top down: observers meet the chunks that have no ancestor,
+    and go on to children by an equality join only below a chunk too near to be rendered, so that no
+    observer meets the fine chunks of a region that a coarse one stands for."""
+    tops, edges = nearest_ancestors(chunks, spec)
     centre, radius = bounding_sphere(spec, F.col("lod"))
-    # a row an observer x chunk: observers are few, chunks many
-    seen = chunks.select("lod", *keys(spec)).distinct().crossJoin(observers.select("id", *axes(spec)))
-    fit = seen.where((F.col("lod") == 0) | ((centre - Vec.of(*axes(spec))).norm() / radius > detail)).select("id", "lod", *keys(spec))
-    out = fit
-    for up in range(1, spec.root_lod + 1):
-        higher = fit.select("id", F.col("lod").alias("l"), *[F.col(k).alias(f"p{k}") for k in keys(spec)])
-        above = parent_key(Vec.of(*keys(spec)), spec, up)
-        keyed = out.withColumns({**{f"p{k}": v for k, v in zip(keys(spec), above.parts)}, "l": F.col("lod") + up})
-        on = ["id", "l", *[f"p{k}" for k in keys(spec)]]
-        out = keyed.join(higher, on, "left_anti").select("id", "lod", *keys(spec))
-    return out
+    fit = (F.col("lod") == 0) | ((centre - Vec.of(*axes(spec))).norm() / radius > detail)
+    seen = observers.select("id", *axes(spec))
+    columns = ["id", "lod", *keys(spec)]
+    levels, open_ = [], None
+    for lod in range(spec.root_lod, -1, -1):
+        visited = tops.df.where(F.col("lod") == lod).crossJoin(seen)  # roots are few
+        if open_ is not None:
+            below = edges.df.where(F.col("lod") == lod).join(open_, ["plod", *[f"p{k}" for k in keys(spec)]])
+            visited = visited.unionByName(below.select("lod", *keys(spec), "id", *axes(spec)))
+        level = Table(visited.withColumn("fit", fit))
+        levels.append(level)
+        near = level.df.where("not fit").select("id", *axes(spec), F.col("lod").alias("plod"), *[F.col(k).alias(f"p{k}") for k in keys(spec)])
+        open_ = near if open_ is None else open_.unionByName(near)
+    return reduce(DataFrame.unionByName, [t.df.where("fit").select(*columns) for t in levels])
 
 
 def changes(before: DataFrame, after: DataFrame, spec: ChunkSpec) -> DataFrame:
     """(id, change, lod, key, others): Split of an old chunk into new ones below it, Merge of old ones into a
     new one above, Spawn of a new one without either."""
     on = ["id", "lod", *keys(spec)]
-    gone, come = before.join(after, on, "left_anti"), after.join(before, on, "left_anti")
+    gone, come = Table(before.join(after, on, "left_anti")).df, Table(after.join(before, on, "left_anti")).df
     key = F.struct("lod", *keys(spec)).alias("k")
 
     def under(fine: DataFrame, coarse: DataFrame) -> DataFrame:
@@ -77,24 +100,42 @@ def changes(before: DataFrame, after: DataFrame, spec: ChunkSpec) -> DataFrame:
             parts.append(low.join(coarse, on))
         return reduce(DataFrame.unionByName, parts)
 
-    split = under(come, gone).groupBy(*on).agg(F.sort_array(F.collect_list("k")).alias("others"))
+    falls = Table(under(come, gone)).df
+    split = falls.groupBy(*on).agg(F.sort_array(F.collect_list("k")).alias("others"))
     merge = under(gone, come).groupBy(*on).agg(F.sort_array(F.collect_list("k")).alias("others"))
-    below = under(come, gone).select("id", F.col("k.lod").alias("lod"), *[F.col(f"k.{k}").alias(k) for k in keys(spec)])
+    below = falls.select("id", F.col("k.lod").alias("lod"), *[F.col(f"k.{k}").alias(k) for k in keys(spec)])
     spawn = come.join(below, on, "left_anti").join(merge.select(*on), on, "left_anti")
     kind = lambda df, name: df.select("id", F.lit(name).alias("change"), "lod", *keys(spec), F.col("others") if "others" in df.columns else F.expr("array()").cast(split.schema["others"].dataType).alias("others"))
     return kind(split, "Split").unionByName(kind(merge, "Merge")).unionByName(kind(spawn, "Spawn"))
 
 
-def loading_slots(nodes: DataFrame, observers: DataFrame, spec: ChunkSpec, budget: int) -> DataFrame:
-    """The `budget` pending chunks of level 0 nearest to each observer: (id, key, dist). nodes have a state
-    bitmask; only those whose loading bit is set are pending."""
+def loading_slots(nodes: DataFrame, observers: DataFrame, spec: ChunkSpec, budget: int, top_down: bool = False) -> DataFrame:
+    """The `budget` pending chunks of level 0 nearest to each observer, and with them all pending coarser ones that
+    have no pending chunk of a lower level below them, which the budget doesn't count: (id, lod, key, dist). nodes
+    have a state bitmask; only those whose loading bit is set are pending. top_down: coarser ones come whether or not
+    chunks below them are pending. The budget is taken in each part of the pending chunks first, so that a
+    task keeps `budget` rows an observer and no sort sees all of them."""
     from pyspark.sql import Window
 
-    centre, _ = bounding_sphere(spec, F.lit(0))
-    pending = nodes.where((F.col("lod") == 0) & (F.expr(f"getbit(state, {LOADING})") == 1)).select(*keys(spec))
-    near = pending.crossJoin(observers.select("id", *axes(spec))).withColumn("dist", (centre - Vec.of(*axes(spec))).norm())
-    order = Window.partitionBy("id").orderBy("dist", *keys(spec))
-    return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= budget).select("id", *keys(spec), "dist")
+    pending = nodes.where(F.expr(f"getbit(state, {LOADING})") == 1).select("lod", *keys(spec))
+    coarse = pending.where("lod > 0")
+    if not top_down:
+        waiting = None
+        for up in range(1, spec.root_lod + 1):
+            above = parent_key(Vec.of(*keys(spec)), spec, up)
+            chain = pending.select((F.col("lod") + up).alias("lod"), *above.named(*keys(spec)))
+            waiting = chain if waiting is None else waiting.unionByName(chain)
+        coarse = coarse if waiting is None else coarse.join(waiting.distinct(), ["lod", *keys(spec)], "left_anti")
+    centre, _ = bounding_sphere(spec, F.col("lod"))
+    dist = (centre - Vec.of(*axes(spec))).norm()
+    seen = observers.select("id", *axes(spec))
+    near = pending.where("lod = 0").crossJoin(seen).withColumn("dist", dist)
+    part = near.withColumn("__p", F.spark_partition_id())
+    order = [F.col("dist"), *[F.col(k) for k in keys(spec)]]
+    for by in (["id", "__p"], ["id"]):
+        part = part.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= budget).drop("r")
+    columns = ["id", "lod", *keys(spec), "dist"]
+    return part.select(*columns).unionByName(coarse.crossJoin(seen).withColumn("dist", dist).select(*columns))
 
 
 def set_bit(state: Column, bit: int, on: bool = True) -> Column:

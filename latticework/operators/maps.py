@@ -210,6 +210,18 @@ def lock_step(left: DataFrame, right: DataFrame, shift, value: str = "v", step=(
     return keyed.join(other, [f"__{a}" for a in AXES[: len(shift)]]).drop(*[f"__{a}" for a in AXES])
 
 
+def zip_maps(spec: ChunkSpec, *maps_: DataFrame) -> DataFrame:
+    """Points of any number of chunk maps of one spec side by side, as v0, v1, ...: where one has a chunk that another
+    lacks, the other's points are ambient. One join on chunk keys a map; arrays are zipped inside the chunk."""
+    channel, ambient = next(iter(spec.channels.items()))
+    out = None
+    for i, chunks in enumerate(maps_):
+        own = chunks.select(*keys(spec), F.col(channel).alias(f"v{i}"))
+        out = own if out is None else out.join(own, list(keys(spec)), "full_outer")
+    filled = out.select(*keys(spec), *[F.coalesce(f"v{i}", ambient_array(ambient, spec)).alias(f"v{i}") for i in range(len(maps_))])
+    return to_points(filled, ChunkSpec(spec.shape, {f"v{i}": ambient for i in range(len(maps_))}, spec.root_lod))
+
+
 def bounding_extent(points: DataFrame, names=AXES) -> DataFrame:
     """One row: least and exclusive greatest coordinates; raises on no points."""
     found = points.agg(*[F.min(n).alias(f"{n}0") for n in names], *[(F.max(n) + 1).alias(f"{n}1") for n in names])

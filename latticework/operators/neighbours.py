@@ -14,12 +14,14 @@ from latticework.operators.maps import axes, chunk_min, in_extent, keys, keys_of
 
 
 def surface_points(solid: DataFrame, extent: Extent) -> DataFrame:
-    """Solid points of the extent with a neighbour, along an axis, that isn't solid. solid: distinct
+    """Solid points of a 2D or 3D extent with a neighbour, along an axis, that isn't solid. solid: distinct
     occupied points, also around the extent. One explode and one equality join; no window needs order."""
-    inside = solid.select(*AXES).where(in_extent(extent))
-    around = P.neighbours(inside, P.VON_NEUMANN_3)
-    there = solid.select(*[F.col(a).alias(f"n{a}") for a in AXES])
-    return around.join(there, ["nx", "ny", "nz"], "left_anti").select(*AXES).distinct()
+    names = AXES[: extent.dim]
+    near = [f"n{a}" for a in names]
+    inside = solid.select(*names).where(in_extent(extent))
+    around = P.neighbours(inside, P.VON_NEUMANN_3 if extent.dim == 3 else P.VON_NEUMANN_2, names, near)
+    there = solid.select(*[F.col(a).alias(n) for a, n in zip(names, near)])
+    return around.join(there, near, "left_anti").select(*names).distinct()
 
 
 def visible_faces(voxels: DataFrame, opaque: Column | str = "opaque") -> DataFrame:
@@ -33,12 +35,14 @@ def visible_faces(voxels: DataFrame, opaque: Column | str = "opaque") -> DataFra
 
 
 def neighbour_sum(points: DataFrame, offsets, value: str = "v", ambient: float = 0.0) -> DataFrame:
-    """Sum over a neighbourhood, vacant neighbours counting as ambient: each value is sent to the points
-    it counts for, and summed there."""
+    """Sum over a neighbourhood of 2D or 3D offsets, vacant neighbours counting as ambient: each value is sent to
+    the points it counts for, and summed there."""
+    names = AXES[: len(offsets[0])]
+    near = [f"n{a}" for a in names]
     back = [tuple(-d for d in o) for o in offsets]
-    sent = P.neighbours(points.select(*AXES, value), back).groupBy("nx", "ny", "nz").agg(F.sum(value).alias("s"), F.count("*").alias("k"))
-    sent = sent.select(*[F.col(f"n{a}").alias(a) for a in AXES], "s", "k")
-    joined = points.join(sent, list(AXES), "left")
+    sent = P.neighbours(points.select(*names, value), back, names, near).groupBy(*near).agg(F.sum(value).alias("s"), F.count("*").alias("k"))
+    sent = sent.select(*[F.col(n).alias(a) for a, n in zip(names, near)], "s", "k")
+    joined = points.join(sent, list(names), "left")
     return joined.select(*points.columns, (F.coalesce("s", F.lit(0)) + (len(offsets) - F.coalesce("k", F.lit(0))) * F.lit(ambient)).alias("around"))
 
 
@@ -71,6 +75,12 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, spec: ChunkSpec) -> Dat
     return keyed.join(wide, list(keys(spec))).where(inside).drop(*keys(spec))
 
 
+def count_in_boxes(points: DataFrame, boxes: DataFrame, spec: ChunkSpec, key: str = "id") -> DataFrame:
+    """(key, n) of boxes with points in them. Equal points are counted before they meet a box."""
+    counted = points.groupBy(*axes(spec)).agg(F.count("*").alias("__n"))
+    return points_in_boxes(counted, boxes, spec).groupBy(key).agg(F.sum("__n").alias("n"))
+
+
 def boxes_in_chunks(boxes: DataFrame, chunks: DataFrame, spec: ChunkSpec) -> DataFrame:
     """Boxes x present chunks that overlap them."""
     return keys_of_boxes(boxes, spec).join(chunks, list(keys(spec)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions.points import Vec
 from latticework.model import AXES, Extent
+from latticework.operators.plumbing import Table
 from latticework.operators.maps import in_extent
 from latticework.sources.scan import scan
 
@@ -44,7 +45,8 @@ def roll_up(points: DataFrame, levels: int) -> DataFrame:
         corner = sum((F.shiftleft(F.shiftright(a, k - 1).bitwiseAND(F.lit(1).cast("long")), i) for i, a in enumerate(AXES)), F.lit(0).cast("long"))
         up = [F.col(a).bitwiseAND(F.lit(~((1 << k) - 1)).cast("long")).alias(a) for a in AXES]
         bit = F.pow(F.lit(2), corner).cast("long")
-        level = level.groupBy(*up).agg(F.bit_or(bit).alias("mask"), (F.sum(F.col("is_full").cast("int")) == 8).alias("is_full")).select(F.lit(k).alias("level"), *AXES, "mask", "is_full")
+        up_one = level.groupBy(*up).agg(F.bit_or(bit).alias("mask"), (F.sum(F.col("is_full").cast("int")) == 8).alias("is_full")).select(F.lit(k).alias("level"), *AXES, "mask", "is_full")
+        level = Table(up_one).df  # each level is made once
         out = out.unionByName(level)
     return out
 

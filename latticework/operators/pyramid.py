@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from latticework.functions.points import Vec
 from latticework.model import ChunkSpec
-from latticework.operators.maps import axes, keys, to_chunks, to_points
+from latticework.operators.maps import axes, keys, overlay, to_chunks, to_points
+from latticework.operators.plumbing import Table
 
 
 def parent_key(p: Vec, spec: ChunkSpec, levels: int = 1) -> Vec:
@@ -61,21 +62,46 @@ def sample_mean(points: DataFrame, channels, dim: int = 3, bits: int | None = No
     return points.groupBy(*half).agg(*[v.alias(c) for c, v in mean.items()])
 
 
-def downsample(chunks: DataFrame, spec: ChunkSpec, lod: int, sampler: str = "mean", bits: int | None = None) -> DataFrame:
+def sampled(points: DataFrame, spec: ChunkSpec, sampler, bits: int | None = None) -> DataFrame:
+    """Points of the next level: sampler is "mean", "point", or a function of an array of the 2^dim values of a block
+    (by 0bZYX) that gives a Column, applied to each channel."""
+    if sampler == "point":
+        return sample_points(points, spec.dim)
+    if sampler == "mean":
+        return sample_mean(points, list(spec.channels), spec.dim, bits)
+    names = axes(spec)
+    corner = sum((F.shiftleft(F.col(a).bitwiseAND(F.lit(1).cast("long")), i) for i, a in enumerate(names)), F.lit(0).cast("long"))
+    packed = points.withColumn("__c", corner).groupBy(*[F.shiftright(a, 1).alias(a) for a in names]).agg(*[F.sort_array(F.collect_list(F.struct("__c", F.col(c).alias("v")))).alias(c) for c in spec.channels])
+    return packed.select(*names, *[sampler(F.transform(c, lambda s: s["v"])).alias(c) for c in spec.channels])
+
+
+def downsample(chunks: DataFrame, spec: ChunkSpec, lod: int, sampler="mean", bits: int | None = None) -> DataFrame:
     """The next coarser level of one level: a chunk a parent with a child. Vacant children leave their
     part ambient, unscaled; stored ones are sampled."""
     points = to_points(chunks.where(F.col("lod") == lod).select(*keys(spec), *spec.channels), spec)
-    sampled = sample_points(points, spec.dim) if sampler == "point" else sample_mean(points, list(spec.channels), spec.dim, bits)
-    return to_chunks(sampled, spec, lod + 1)
+    return to_chunks(sampled(points, spec, sampler, bits), spec, lod + 1)
+
+
+def downsample_under(chunks: DataFrame, spec: ChunkSpec, lod: int, key, sampler="mean", target: DataFrame | None = None, lod0: DataFrame | None = None) -> DataFrame:
+    """The chunk of level lod at key, made from its descendants of level 0 in `chunks` (or in lod0, a table of
+    another kind projected to these channels), with all levels between; laid over `target`, or alone.
+    Other chunks of `target` stay as they are."""
+    source = (chunks if lod0 is None else lod0).where("lod = 0").select("lod", *keys(spec), *spec.channels)
+    above = parent_key(Vec.of(*keys(spec)), spec, lod) if lod else Vec.of(*keys(spec))
+    made = mip_chain(source.where(above.equals(Vec(*key))), spec, lod, sampler).where("lod > 0")
+    if target is None:
+        return made
+    return overlay(target.select("lod", *keys(spec), *spec.channels), made, ["lod", *keys(spec)])
 
 
-def mip_chain(chunks: DataFrame, spec: ChunkSpec, top: int, sampler: str = "mean", bits: int | None = None) -> DataFrame:
-    """chunks of level 0 and all coarser levels to `top`: a shuffle a level, each 1 / 2^dim of the last."""
+def mip_chain(chunks: DataFrame, spec: ChunkSpec, top: int, sampler="mean", bits: int | None = None, lod0: DataFrame | None = None) -> DataFrame:
+    """chunks of level 0 (of lod0, if given: a table of another kind projected to these channels) and all coarser
+    levels to `top`: a shuffle a level, each 1 / 2^dim of the last and written once."""
     if top > spec.root_lod:
         raise ValueError("no level above the root")
-    level = chunks.where("lod = 0").select("lod", *keys(spec), *spec.channels)
+    level = (chunks if lod0 is None else lod0).where("lod = 0").select("lod", *keys(spec), *spec.channels)
     out = level
     for lod in range(top):
-        level = downsample(level, spec, lod, sampler, bits)
+        level = Table(downsample(level, spec, lod, sampler, bits)).df
         out = out.unionByName(level)
     return out

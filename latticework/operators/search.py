@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +41,29 @@ def walk(start, velocity, n: int, truncate: bool = False) -> Iterator[tuple[int,
 
 
 def ray_cells(rays: DataFrame, n: int, dim: int = 3, truncate: bool = False) -> DataFrame:
-    """(ray_id, step, x, y, z) of rays (ray_id, sx, .., vx, ..)."""
+    """(ray_id, step, x, y, z) of rays (ray_id, sx, .., vx, ..): walk() for all rays of a batch at once."""
     names = AXES[:dim]
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(r["ray_id"], i, *c) for r in pdf.to_dict("records") for i, c in enumerate(walk([r[f"s{a}"] for a in names], [r[f"v{a}"] for a in names], n, truncate))]
-            yield pd.DataFrame(rows, columns=["ray_id", "step", *names])
-
-    return rays.mapInPandas(run, "ray_id long, step int, " + ", ".join(f"{a} long" for a in names))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, speed = (np.stack([batch.column(f"{k}{a}").to_numpy(zero_copy_only=False) for a in names], axis=1).astype(np.float32) for k in "sv")
+            cell = (np.trunc(start) if truncate else np.floor(start)).astype(np.int64)
+            step = np.where(speed >= 0, 1, -1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                delta = np.float32(1) / np.abs(speed)
+                crossing = np.where(speed != 0, ((cell + (step > 0)).astype(np.float32) - start) / speed, np.float32(np.inf))
+            found, at = np.empty((n, *cell.shape), dtype=np.int64), np.arange(len(cell))
+            for i in range(n):
+                found[i] = cell
+                # of equal crossings the later axis goes first
+                axis = dim - 1 - crossing[:, ::-1].argmin(axis=1)
+                cell[at, axis] += step[at, axis]
+                crossing[at, axis] += delta[at, axis]
+            ids = np.tile(batch.column("ray_id").to_numpy(), n)
+            columns = [ids, np.repeat(np.arange(n, dtype=np.int32), len(cell)), *found.reshape(-1, dim).T]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ray_id", "step", *names])
+
+    return rays.mapInArrow(run, "ray_id long, step int, " + ", ".join(f"{a} long" for a in names))
 
 
 def _on_path(rays: DataFrame, voxels: DataFrame, spec: ChunkSpec, radius: float) -> DataFrame:
@@ -58,7 +73,8 @@ def _on_path(rays: DataFrame, voxels: DataFrame, spec: ChunkSpec, radius: float)
     length = F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2)
     many = F.ceil(length * F.col("max_toi") / step).cast("int")
     along = rays.withColumn("__t", F.explode(F.sequence(F.lit(0), many)))
-    t = F.least(F.col("__t") * step / length, F.col("max_toi"))
+    # a ray that doesn't move has its start alone
+    t = F.coalesce(F.least(F.try_divide(F.col("__t") * step, length), F.col("max_toi")), F.lit(0.0))
     reach = radius + step + 1
     at = along
     for a, k, s in zip(AXES, keys(spec), spec.shape):
@@ -85,44 +101,64 @@ def cast_rays(rays: DataFrame, voxels: DataFrame, spec: ChunkSpec = ChunkSpec((1
     return best.select("ray_id", "b.x", "b.y", "b.z", "b.toi")
 
 
-def ball_toi(start, velocity, low, radius: float) -> float:
-    """Time at which a moving ball first touches the unit cube at low; inf if never. The distance to a
-    convex body along a line is convex, so its least value is found first, then the crossing before it."""
-    s, v = np.asarray(start, float), np.asarray(velocity, float)
-
-    def gap(t):
-        p = s + t * v
-        return np.linalg.norm(p - np.clip(p, low, np.asarray(low) + 1)) - radius
-
-    if gap(0.0) <= 0:
-        return 0.0
-    speed = np.linalg.norm(v)
-    if speed == 0:
-        return math.inf
-    a, b = 0.0, (np.linalg.norm(np.asarray(low) + 0.5 - s) + radius + 2) / speed
-    for _ in range(200):
-        m, q = a + (b - a) / 3, b - (b - a) / 3
-        a, b = (a, q) if gap(m) <= gap(q) else (m, b)
-    if gap(a) > 1e-9:
-        return math.inf
-    lo, hi = 0.0, a
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if gap(mid) <= 0 else (mid, hi)
-    return hi
+#: Edges of a cube as (axis, corner whose coordinate on it is 0), and its corners.
+_EDGES = [(a, tuple(o if k != a else 0 for k, o in enumerate((b & 1, b >> 1 & 1, b >> 2 & 1)))) for a in range(3) for b in range(8) if not b >> a & 1]
+_CORNERS = [(b & 1, b >> 1 & 1, b >> 2 & 1) for b in range(8)]
 
 
-def cast_balls(rays: DataFrame, voxels: DataFrame, radius: float, spec: ChunkSpec = ChunkSpec((16, 16, 16))) -> DataFrame:
-    """The first voxel that a ball moving along each ray touches: (ray_id, x, y, z, toi)."""
-    near = _on_path(rays, voxels, spec, radius)
+def ball_toi(start: np.ndarray, velocity: np.ndarray, low: np.ndarray, radius: float) -> np.ndarray:
+    """Times at which moving balls first touch the unit cubes at low, a row each; inf if never. A cube grown by
+    a ball is three boxes, twelve cylinders about its edges and eight balls about its corners, so the time
+    is the least of those at which the centre enters one of them."""
+    s, v = np.asarray(start, float) - low, np.asarray(velocity, float)
+    best = np.full(len(s), np.inf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for grown in range(3):
+            near, far = np.zeros(len(s)), np.full(len(s), np.inf)
+            for a in range(3):
+                lo, hi = (-radius, 1 + radius) if a == grown else (0.0, 1.0)
+                t0, t1 = (lo - s[:, a]) / v[:, a], (hi - s[:, a]) / v[:, a]
+                still, inside = v[:, a] == 0, (s[:, a] >= lo) & (s[:, a] <= hi)
+                near = np.maximum(near, np.where(still, np.where(inside, 0, np.inf), np.minimum(t0, t1)))
+                far = np.minimum(far, np.where(still, np.where(inside, np.inf, -np.inf), np.maximum(t0, t1)))
+            best = np.minimum(best, np.where(near <= far, near, np.inf))
+        for along, corner in [*_EDGES, *((None, c) for c in _CORNERS)]:
+            p = s - np.array(corner, float)
+            across = [a for a in range(3) if a != along]
+            a2 = (v[:, across] ** 2).sum(1)
+            b2 = (p[:, across] * v[:, across]).sum(1)
+            c2 = (p[:, across] ** 2).sum(1) - radius**2
+            root = b2 * b2 - a2 * c2
+            t = np.where(c2 <= 0, 0.0, np.where((root >= 0) & (b2 < 0), (-b2 - np.sqrt(np.maximum(root, 0))) / a2, np.inf))
+            if along is not None:  # within the edge; beyond it the corners decide
+                at = p[:, along] + np.where(np.isfinite(t), t, 0) * v[:, along]
+                t = np.where((at >= 0) & (at <= 1), t, np.inf)
+            best = np.minimum(best, np.where(np.isnan(t), np.inf, t))
+    return best
 
-    def run(batches):
-        for pdf in batches:
-            toi = [ball_toi([r[f"s{a}"] for a in AXES], [r[f"v{a}"] for a in AXES], [r[a] for a in AXES], radius) for r in pdf.to_dict("records")]
-            pdf = pdf.assign(toi=np.array(toi, dtype=float))
-            yield pdf[pdf.toi <= pdf.max_toi][["ray_id", *AXES, "toi"]]
 
-    hits = near.mapInPandas(run, "ray_id long, x long, y long, z long, toi double")
+def cast_balls(rays: DataFrame, voxels: DataFrame, radius: float, spec: ChunkSpec = ChunkSpec((16, 16, 16))) -> DataFrame:
+    """The first voxel that a ball moving along each ray touches: (ray_id, x, y, z, toi). Only voxels whose box,
+    grown by the radius, the ray meets are looked at."""
+    near = _on_path(rays, voxels, spec, radius)
+    meets, low, high = F.lit(True), F.lit(0.0), F.col("max_toi").cast("double")
+    for a in AXES:
+        s, v, from_, to = F.col(f"s{a}"), F.col(f"v{a}"), F.col(a) - radius, F.col(a) + 1 + radius
+        t0, t1 = F.try_divide(from_ - s, v), F.try_divide(to - s, v)
+        meets = meets & ((v != 0) | ((s >= from_) & (s <= to)))
+        low = F.greatest(low, F.when(v != 0, F.least(t0, t1)).otherwise(0.0))
+        high = F.least(high, F.when(v != 0, F.greatest(t0, t1)).otherwise(F.lit(float("inf"))))
+    near = near.where(meets & (low <= high + 1e-9))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, v, p = (np.stack([batch.column(f"{k}{a}").to_numpy(zero_copy_only=False) for a in AXES], axis=1).astype(np.float64) for k in ("s", "v", ""))
+            toi = ball_toi(s, v, p, radius)
+            hit = pa.array(toi <= batch.column("max_toi").to_numpy(zero_copy_only=False))
+            columns = [batch.column("ray_id"), *(batch.column(a) for a in AXES), pa.array(toi)]
+            yield pa.RecordBatch.from_arrays([c.filter(hit) for c in columns], names=["ray_id", *AXES, "toi"])
+
+    hits = near.mapInArrow(run, "ray_id long, x long, y long, z long, toi double")
     best = hits.groupBy("ray_id").agg(F.min(F.struct(F.round("toi", 6).alias("toi"), "z", "y", "x")).alias("b"))
     return best.select("ray_id", "b.x", "b.y", "b.z", "b.toi")
 
@@ -133,11 +169,10 @@ def contact_voxel(contact: Vec, normal: Vec) -> Vec:
 
 
 def connected(points: DataFrame, spec: ChunkSpec = ChunkSpec((16, 16, 16)), value: str | None = None) -> DataFrame:
-    """points with `component`, the least packed (z, y, x) of their 6-connected region; with
+    """points with `component`, the least point of their 6-connected region as a struct (z, y, x); with
     value, only equal values connect. Regions inside a chunk are labelled in one pass, and chunks'
     labels are joined over their faces until nothing changes."""
-    packed = (F.col("z") + (1 << 20)) * (1 << 42) + (F.col("y") + (1 << 20)) * (1 << 21) + F.col("x") + (1 << 20)
-    own = points.select(*AXES, *([F.col(value).alias("val")] if value else [F.lit(0).alias("val")]), packed.alias("id")).withColumns(dict(zip(keys(spec), chunk_min(Vec.of(*AXES), spec).parts)))
+    own = points.select(*AXES, *([F.col(value).alias("val")] if value else [F.lit(0).alias("val")])).withColumns(dict(zip(keys(spec), chunk_min(Vec.of(*AXES), spec).parts)))
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         n = len(pdf)
@@ -157,13 +192,15 @@ def connected(points: DataFrame, spec: ChunkSpec = ChunkSpec((16, 16, 16)), valu
                     a, b = root(i), root(j)
                     parent[max(a, b)] = min(a, b)
         roots = np.array([root(i) for i in range(n)])
-        ids = pdf.id.to_numpy()
-        low = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(low, roots, ids)
-        return pdf.assign(label=low[roots])[[*AXES, "val", "label"]]
+        # rows by (z, y, x): the first of a root is its least point
+        order = np.lexsort((pdf.x, pdf.y, pdf.z))
+        first = np.full(n, n)
+        np.minimum.at(first, roots[order], np.arange(n))
+        least = order[first[roots]]
+        return pdf.assign(**{f"l{a}": pdf[a].to_numpy()[least] for a in AXES})[[*AXES, "val", "lz", "ly", "lx"]]
 
     kind = own.schema["val"].dataType.simpleString()
-    local = Table(own.groupBy(*keys(spec)).applyInPandas(label, f"x long, y long, z long, val {kind}, label long"))
+    local = Table(own.groupBy(*keys(spec)).applyInPandas(label, f"x long, y long, z long, val {kind}, lz long, ly long, lx long").select(*AXES, "val", F.struct(F.col("lz").alias("z"), F.col("ly").alias("y"), F.col("lx").alias("x")).alias("label")))
     forward = P.neighbours(local.df, [(1, 0, 0), (0, 1, 0), (0, 0, 1)])
     other = local.df.select(*[F.col(a).alias(f"n{a}") for a in AXES], F.col("label").alias("b"), F.col("val").alias("nval"))
     edges = Table(forward.join(other, ["nx", "ny", "nz"]).where("val = nval and label <> b").select(F.least("label", "b").alias("a"), F.greatest("label", "b").alias("b")).distinct())

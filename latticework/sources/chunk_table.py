@@ -41,6 +41,26 @@ def apply(chunks: DataFrame, changes: DataFrame, spec: ChunkSpec, order: str | N
     return kept.unionByName(changes.where(F.col("op") == INSERT).select(*chunks.columns))
 
 
+def in_range(morton_column, lod: int, low=None, high=None, low_open: bool = False, high_open: bool = False):
+    """Predicate of range_scan, for ChunkTable.read: low and high are integers."""
+    out = F.col("lod") == lod
+    if low is not None:
+        bound = F.lit(str(low)).cast("decimal(29,0)")
+        out = out & (morton_column > bound if low_open else morton_column >= bound)
+    if high is not None:
+        bound = F.lit(str(high)).cast("decimal(29,0)")
+        out = out & (morton_column < bound if high_open else morton_column <= bound)
+    return out
+
+
+def in_orthants(morton_column, lod: int, orthants):
+    """Predicate of keys in any of some orthants."""
+    hit = F.lit(False)
+    for o in orthants:
+        hit = hit | in_range(morton_column, lod, *morton.orthant_range(o))
+    return hit
+
+
 def range_scan(clustered_chunks: DataFrame, lod: int, low=None, high=None, low_open: bool = False, high_open: bool = False) -> DataFrame:
     """Keys between two bounds, each inclusive, exclusive or absent: comparisons that reach the scan."""
     kind = clustered_chunks.schema["morton"].dataType
@@ -137,14 +157,30 @@ class ChunkTable:
             out.append(parents[out[-1]])
         return out
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The chunks of a version: of each key the latest change on the way to the root."""
-        chain = self.lineage(self.current() if version is None else version)
+    def storage(self) -> DataFrame:
+        """(version, lod, changes, inserts, removes) of what is stored."""
+        data = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
+        kind = lambda op: F.count_if(F.col("op") == op)
+        return data.groupBy(F.col("at_version").cast("long").alias("version"), "lod").agg(F.count("*").alias("changes"), kind(INSERT).alias("inserts"), kind(REMOVE).alias("removes"))
+
+    def delta(self, version: int) -> DataFrame:
+        """The changes that make a version of its parent, the latest of each key."""
+        return self._latest([version], None, True)
+
+    def read(self, version: int | None = None, where=None) -> DataFrame:
+        """The chunks of a version: of each key the latest change on the way to the root. where: a predicate on
+        lod, morton and key columns, which reaches the scan, as all changes of a key satisfy it or none."""
+        return self._latest(self.lineage(self.current() if version is None else version), where, False)
+
+    def _latest(self, chain: list[int], where, removed: bool) -> DataFrame:
         data = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
         if "n" not in data.columns:
             data = data.withColumn("n", F.lit(None).cast("long"))
         place = F.array_position(F.array(*[F.lit(v).cast("long") for v in chain]), F.col("at_version").cast("long"))
         on = ["lod", *keys(self.spec)]
         newest = Window.partitionBy(*on).orderBy(place, F.desc(F.coalesce("n", F.lit(0))))
-        live = data.where(F.col("at_version").isin(chain)).withColumn("__r", F.row_number().over(newest))
-        return live.where((F.col("__r") == 1) & (F.col("op") == INSERT)).select("lod", *keys(self.spec), "morton", *self.spec.channels)
+        live = data.where(F.col("at_version").isin(chain))
+        live = live if where is None else live.where(where)
+        live = live.withColumn("__r", F.row_number().over(newest)).where("__r = 1")
+        columns = ["lod", *keys(self.spec), "morton", *self.spec.channels]
+        return live.select(*columns, "op") if removed else live.where(F.col("op") == INSERT).select(*columns)
