@@ -840,11 +840,14 @@ def n4_i5_render_changes(spark, sf):
     return clipmap.changes(before, after, SDF).withColumn("n", F.size("others").cast("long")).drop("others")
 
 
-@query(f""", {OBS} select id, cx, cy, cz, round(dist, 6) as dist from (select o.id, c.cx, c.cy, c.cz, sqrt((c.cx + 2 - o.x)**2 + (c.cy + 2 - o.y)**2 + (c.cz + 2 - o.z)**2) as dist, row_number() over (partition by o.id order by sqrt((c.cx + 2 - o.x)**2 + (c.cy + 2 - o.y)**2 + (c.cz + 2 - o.z)**2), c.cx, c.cy, c.cz) as r
-  from chunks c cross join obs o where c.label % 2 = 1) where r <= 10""")
+@query(f""", {OBS}, {_TREE}, pend as (select 0 as lod, cx, cy, cz from chunks where label % 2 = 1 and cx >= 8 union all select lod, cx, cy, cz from tree where lod > 0 and (cx + cy) % 8 = 0),
+  far as (select o.id, p.*, sqrt((p.cx * (1 << p.lod) + (2 << p.lod) - o.x)**2 + (p.cy * (1 << p.lod) + (2 << p.lod) - o.y)**2 + (p.cz * (1 << p.lod) + (2 << p.lod) - o.z)**2) as dist from pend p cross join obs o)
+  select id, lod, cx, cy, cz, round(dist, 6) as dist from (select *, row_number() over (partition by id order by dist, cx, cy, cz) as r from far where lod = 0) where r <= 10
+  union all select id, lod, cx, cy, cz, round(dist, 6) from far f where lod > 0 and not exists (select 1 from pend q where q.lod < f.lod and f.cx = (q.cx >> (2 + f.lod - q.lod)) << 2 and f.cy = (q.cy >> (2 + f.lod - q.lod)) << 2 and f.cz = (q.cz >> (2 + f.lod - q.lod)) << 2)""")
 def n5_i4_loading_slots(spark, sf):
-    nodes = sdf_chunks(spark, sf).select("lod", "cx", "cy", "cz", (F.col("label") % 2).alias("state"))
-    return rounded(clipmap.loading_slots(nodes, observers(spark, sf), SDF, 10), "dist")
+    low = sdf_chunks(spark, sf).select("lod", "cx", "cy", "cz", F.when(F.col("cx") >= 8, F.col("label") % 2).otherwise(0).alias("state"))
+    coarse = levels(spark, sf).where("lod > 0").select("lod", "cx", "cy", "cz", F.when((F.col("cx") + F.col("cy")) % 8 == 0, 1).otherwise(0).cast("long").alias("state"))
+    return rounded(clipmap.loading_slots(low.unionByName(coarse), observers(spark, sf), SDF, 10), "dist")
 
 
 @query(f""", {_TREE}, want as (select distinct k as lod, (cx >> (2 + k)) << 2 as cx, (cy >> (2 + k)) << 2 as cy, (cz >> (2 + k)) << 2 as cz from chunks cross join (select unnest(range(4))::integer as k) where label = 7)

@@ -367,3 +367,25 @@ def test_pipelines(spark, tmp_path):
     look = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "id long, x double, y double, z double")
     now, changes = pipelines.level_of_detail_step(table.read(), None, look, spec, 3.0)
     assert now.count() == changes.where("change = 'Spawn'").count() > 0
+
+
+def test_rays_that_stand_still(spark):
+    solid = points(spark, [(0, 0, 0), (5, 0, 0)])
+    rays = spark.createDataFrame([(1, 0.5, 0.5, 0.5, 0.0, 0.0, 0.0, 9.0), (2, 3.5, 0.5, 0.5, 0.0, 0.0, 0.0, 9.0)], "ray_id long, sx double, sy double, sz double, vx double, vy double, vz double, max_toi double")
+    assert as_set(search.cast_rays(rays, solid), "ray_id", "x", "toi") == {(1, 0, 0.0)}
+    assert as_set(search.cast_balls(rays, solid, 0.25), "ray_id", "x", "toi") == {(1, 0, 0.0)}
+
+
+def test_components_far_apart(spark):
+    got = search.connected(points(spark, [(1 << 20, 0, 0), (-(1 << 20), 1, 0)]))
+    assert got.select("component").distinct().count() == 2
+
+
+def test_loading_slots_of_coarse_levels(spark):
+    spec = ChunkSpec((16, 16, 16), root_lod=2)
+    rows = [(0, 0, 0, 0, 1), (0, 16, 0, 0, 1), (0, 32, 0, 0, 0), (1, 0, 0, 0, 1), (1, 16, 0, 0, 1), (2, 0, 0, 0, 1)]
+    nodes = spark.createDataFrame(rows, "lod int, cx long, cy long, cz long, state long")
+    seen = spark.createDataFrame([(7, 0.0, 0.0, 0.0)], "id long, x double, y double, z double")
+    # the budget cuts level 0 alone; coarse chunks wait for the pending ones below them
+    assert as_set(clipmap.loading_slots(nodes, seen, spec, 1), "lod", "cx") == {(0, 0), (1, 16)}
+    assert as_set(clipmap.loading_slots(nodes, seen, spec, 1, top_down=True), "lod", "cx") == {(0, 0), (1, 0), (1, 16), (2, 0)}
