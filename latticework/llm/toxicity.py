@@ -42,6 +42,8 @@ from latticework.llm.common import labelled_sample, ragged, segments_max, slices
 #: Bounds of the labelled sample: clean and toxic documents, and clean windows drawn by hash before hard ones join.
 SAMPLE, CLEAN_WINDOWS = (4000, 2000), 12_000
 LANDMARKS, LAMBDA, SPAN, HASHED, PIECE, BLOCK = 400, 0.75, 5, 1 << 20, 32, 1 << 15
+#: Characters at a time where training scores or draws windows; any number gives the same.
+SCORED = 500_000
 COST, MAX_FALSE, CHANCE, STRAY, STEMS, ROUNDS = 500, 0.001, 1e-5, 0.02, (4, 5, 6, 7), 2
 
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -235,12 +237,14 @@ def dense(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return used, out / _norms(windows)[:, None].astype(np.float32)
 
 
-def kernel(windows: list[bytes], landmarks: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """Kernel of windows with landmarks given as dense rows over the subsequences in used."""
+def kernel(windows: list[bytes], landmarks: np.ndarray, used: np.ndarray, project: np.ndarray | None = None) -> np.ndarray:
+    """Kernel of windows with landmarks given as dense rows over the subsequences in used; with project,
+    projected, some hundred windows at a time, and with a last column of ones."""
     place = np.full(HASHED, -1, dtype=np.int64)
     place[used] = np.arange(len(used))
-    out = np.zeros((len(windows), landmarks.shape[0]), dtype=np.float32)
+    out = np.ones((len(windows), landmarks.shape[0] if project is None else project.shape[1] + 1), dtype=np.float32)
     across = np.ascontiguousarray(landmarks.T)
+    norms = _norms(windows)[:, None].astype(np.float32)
     for rows, symbols in rows_of(windows):
         for begin in range(0, len(rows), 500):
             part = symbols[begin : begin + 500]
@@ -249,18 +253,29 @@ def kernel(windows: list[bytes], landmarks: np.ndarray, used: np.ndarray) -> np.
                 at = np.where(real, place[key], -1)
                 r, c = np.nonzero(at >= 0)
                 np.add.at(own, (r, at[r, c]), np.float32(w))
-            out[rows[begin : begin + 500]] = own @ across
-    return out / _norms(windows)[:, None].astype(np.float32)
+            at = rows[begin : begin + 500]
+            found = own @ across / norms[at]
+            if project is None:
+                out[at] = found
+            else:
+                out[at, :-1] = found @ project
+    return out
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss by Newton steps on the active set; y is +-1."""
-    x1 = np.c_[x, np.ones(len(x), dtype=x.dtype)]
-    w, keep = np.zeros(x1.shape[1]), np.r_[np.full(x.shape[1], ridge), 1e-6]
+    """Linear SVM with squared hinge loss by Newton steps on the active set; y is +-1, the last column of x ones.
+    Its matrices are summed over some thousand rows at a time, so that x isn't copied."""
+    n = x.shape[1]
+    w, keep = np.zeros(n), np.r_[np.full(n - 1, ridge), 1e-6]
     for _ in range(50):
-        active = y * (x1 @ w.astype(x1.dtype)) < 1
-        xa, ca = x1[active], cost[active].astype(x1.dtype)
-        after = np.linalg.solve(((xa.T * ca) @ xa).astype(np.float64) + np.diag(keep), (xa.T @ (ca * y[active])).astype(np.float64))
+        active = np.flatnonzero(y * (x @ w.astype(x.dtype)) < 1)
+        gram, right = np.diag(keep), np.zeros(n)
+        for b in range(0, len(active), 4096):
+            at = active[b : b + 4096]
+            xa, ca = x[at], cost[at].astype(x.dtype)
+            gram += (xa.T * ca) @ xa
+            right += xa.T @ (ca * y[at])
+        after = np.linalg.solve(gram, right)
         if np.allclose(after, w, atol=1e-7):
             break
         w = after
@@ -288,14 +303,19 @@ class Windows:
 
     def __init__(self, stream: Stream):
         self.stream = stream
-        s, n = stream.symbols.astype(np.uint64), len(stream.symbols)
+        n = len(stream.symbols)
+
+        def powers(of: int) -> np.ndarray:
+            out = np.full(n + 1, np.uint64(of))
+            out[0] = 1
+            return np.multiply.accumulate(out, out=out)
+
         with np.errstate(over="ignore"):
-            power = np.ones(n + 1, dtype=np.uint64)
-            np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, _MIX)], out=power)
-            back = np.ones(n + 1, dtype=np.uint64)
-            np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, np.uint64(pow(int(_MIX), -1, 1 << 64)))], out=back)
-            self.sums = np.r_[np.zeros(1, dtype=np.uint64), np.cumsum(s * power[:n], dtype=np.uint64)]
-        self.back = back
+            self.sums = powers(int(_MIX))
+            self.sums[1:] = stream.symbols * self.sums[:-1]
+            self.sums[0] = 0
+            np.cumsum(self.sums, out=self.sums)
+            self.back = powers(pow(int(_MIX), -1, 1 << 64))
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -378,7 +398,8 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         own_stream = Stream(fine_texts[b:e])
         own = Windows(own_stream)
         n_clean += len(own_stream.letters)
-        for k, (at, h) in enumerate([(np.arange(len(own_stream.letters)), own.words()), own.pairs(), *(own.stems(s) for s in STEMS)]):
+        for k in range(2 + len(STEMS)):
+            at, h = (np.arange(len(own_stream.letters)), own.words()) if k == 0 else own.pairs() if k == 1 else own.stems(STEMS[k - 2])
             clean[k] += _count(often[k][0], *_in_contexts(own, at, h, 1 + (k == 1)))
     telling = [(c >= evidence) & (x * n_bad <= STRAY * c * n_clean) for (_, c), x in zip(often, clean)]
 
@@ -403,6 +424,8 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     for first, many in ((np.flatnonzero(word), 1), (np.flatnonzero(pair), 2)):
         for w in bad.bytes_of(first, np.full(len(first), many)):
             chosen[w] = chosen.get(w, 0) + 1
+    known = which(0, clean[0] > 0)
+    kinds = often = clean = telling = bad.sums = bad.back = None  # the hashes have served
     fine = [w for w in _drawn(fine_texts) if w not in chosen]
     rng = np.random.default_rng(0)
     model = nothing
@@ -418,13 +441,12 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         top = segments_max(best, np.bincount(sentence), -np.inf)
         worst = np.flatnonzero(example[sentence] & (best == top[sentence]) & (best > 0))
         many = np.where(scored.pair[worst] > scored.word[worst], 2, 1)
-        known = which(0, clean[0] > 0)
         # a pair is as telling as the words in it: one of them at least is not a word of clean documents
         new = ~known[worst] | ((many == 2) & ~known[np.minimum(worst + 1, n_words - 1)])
         for w in bad.bytes_of(worst[new & (many == 1)], many[new & (many == 1)]):
             if w not in clean_words:
                 chosen.setdefault(w, 1)
-        for b, e in slices(fine_texts):
+        for b, e in slices(fine_texts, SCORED):
             own_stream = Stream(fine_texts[b:e])
             own, scored = Windows(own_stream), Scored(own_stream, model.weight, model.bias)
             for found, size in ((scored.word, 1), (scored.pair, 2)):
@@ -433,7 +455,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
                     if w not in chosen:
                         hard[w] = hard.get(w, 0) + 1
     out = np.flatnonzero(held)
-    scores, truth = np.concatenate([model.scores([texts[i] for i in out[b:e]]) for b, e in slices([texts[i] for i in out])] or [np.zeros(0)]), label[out]
+    scores, truth = np.concatenate([model.scores([texts[i] for i in out[b:e]]) for b, e in slices([texts[i] for i in out], SCORED)] or [np.zeros(0)]), label[out]
     model.threshold = calibrate(scores[truth == 0], scores[truth == 1])
     return model
 
@@ -452,7 +474,7 @@ def pieces(windows: list[bytes]) -> list[bytes]:
 def _drawn(texts: list[str]) -> list[bytes]:
     """CLEAN_WINDOWS different windows, of words and of pairs one half each, those least by hash."""
     least: dict[int, tuple[np.ndarray, list[bytes]]] = {}
-    for b, e in slices(texts):
+    for b, e in slices(texts, SCORED):
         stream = Stream(texts[b:e])
         own = Windows(stream)
         for size, (at, h) in ((1, (np.arange(len(stream.letters)), own.words())), (2, own.pairs())):
@@ -488,7 +510,7 @@ def _fit(chosen: dict[bytes, int], fine: list[bytes], hard: dict[bytes, int], rn
     y = np.r_[np.ones(len(shares)), -np.ones(len(fine) + len(hard_list))]
     n = max(1, len(fine))
     cost = COST * np.r_[shares / shares.sum(), np.full(len(fine), 1 / n), np.full(len(hard_list), min(20 / n, 2 / max(1, len(hard_list))))]
-    x = kernel(windows, marks_f, used) @ project.astype(np.float32)
+    x = kernel(windows, marks_f, used, project.astype(np.float32))
     beta, bias = svm(x, y, cost)
     weight = np.zeros(HASHED, dtype=np.float32)
     weight[used] = marks_f.T @ (project @ beta)
