@@ -13,6 +13,10 @@ nearest word and then meet with a high probability only (README: measured recall
 Equal fingerprints are one node from the start, so groups of copies cost one row. An anchor keeps
 only a spanning forest of its near pairs; groups are the connected components of all of them.
 
+A task's memory doesn't follow the input: a slot of anchors is a partition of PLACED rows or so, pairs are
+compared in pieces, near ones become a forest as soon as they are many, and texts, words and bits are held
+for a piece of a batch.
+
 Defined results: null, empty and blank texts have no fingerprint and are kept; the smallest doc_id of
 a group stays; rows that repeat a doc_id are one document (its smallest fingerprint); a null doc_id is
 never reported; an empty table gives no pairs; other columns don't matter.
@@ -24,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm import golay
-from latticework.llm.common import Grown, Table, Words, batch_of, settled, slices, small
+from latticework.llm.common import Grown, Table, Words, batch_of, ragged, settled, small
 from latticework.llm.components import components
 from latticework.llm.exact import without
 from latticework.llm.windows import mix
@@ -36,6 +41,8 @@ from latticework.llm.windows import mix
 BITS, WORD, TABLES = 192, 46, 4
 #: ANCHORED: bits of any two words within which a pair meets for certain. NEAR: the definition.
 ANCHORED, HALF, NEAR = 9, 2, 24
+#: What a task holds: bytes of text and words of bits at once, words whose hashes are kept. RUN: words a sum.
+TEXT, PIECE, VOCABULARY, RUN = 250_000, 1 << 14, 200_000, 1024
 
 _FP = pa.schema([("doc_id", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
 _FP_DDL = "doc_id long, f0 long, f1 long, f2 long"
@@ -63,15 +70,27 @@ def fingerprint_batch(texts: list, words: Words, hashes: Grown) -> np.ndarray:
         return out
     doc = np.repeat(np.arange(len(texts), dtype=np.int64), n)
     keys, tf = np.unique(doc << 40 | ids, return_counts=True)
-    weight = (1 + np.log(tf)).astype(np.float32)
+    # whole numbers, and at most RUN words a sum, so that no order of words and no cut changes a bit
+    weight = np.round(1024 * (1 + np.log(tf))).astype(np.float32)
     doc, ids = keys >> 40, keys & (1 << 40) - 1
     present, starts = np.unique(doc, return_index=True)
     whole = np.add.reduceat(weight.astype(np.float64), starts)
-    h = hashes.data[ids]
+    lengths = np.diff(np.r_[starts, len(ids)])
+    many = -(-lengths // RUN)
+    of = np.repeat(np.arange(len(present)), many)
+    first = starts[of] + RUN * ragged(np.zeros(len(many), dtype=np.int64), many)
+    last = np.minimum(first + RUN, (starts + lengths)[of])
+    total, at = np.zeros((3, len(present), 64)), 0
+    while at < len(of):
+        upto = int(np.searchsorted(last, first[at] + PIECE, side="right"))
+        own = slice(first[at], last[upto - 1])
+        h = hashes.data[ids[own]]
+        for part in range(3):
+            bits = np.unpackbits(h[:, part].copy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            np.add.at(total[part], of[at:upto], np.add.reduceat(bits * weight[own, None], first[at:upto] - first[at], axis=0, dtype=np.float32))
+        at = upto
     for part in range(3):
-        bits = np.unpackbits(h[:, part].copy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total = np.add.reduceat(bits * weight[:, None], starts, axis=0, dtype=np.float32)
-        sign = (2 * total > whole[:, None]).astype(np.uint8)
+        sign = (2 * total[part] > whole[:, None]).astype(np.uint8)
         out[present, part] = np.packbits(sign, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
@@ -79,11 +98,16 @@ def fingerprint_batch(texts: list, words: Words, hashes: Grown) -> np.ndarray:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, hashes = Words(), Grown(np.uint64, 3)
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for begin, end in slices(texts, 1_000_000):
-            found = fingerprint_batch(texts[begin:end], words, hashes).view(np.int64)
-            part = batch.slice(begin, end - begin)
-            yield batch_of(part, _FP, {f"f{i}": found[:, i] for i in range(3)})
+        text = batch.column("text")
+        ends, begin = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(), dtype=np.int64), 0
+        while begin < len(ends):
+            upto = (ends[begin - 1] if begin else 0) + TEXT
+            end = max(begin + 1, int(np.searchsorted(ends, upto, side="right")))
+            if len(words.ids) > VOCABULARY:
+                words, hashes = Words(), Grown(np.uint64, 3)
+            found = fingerprint_batch(text.slice(begin, end - begin).to_pylist(), words, hashes).view(np.int64)
+            yield batch_of(batch.slice(begin, end - begin), _FP, {f"f{i}": found[:, i] for i in range(3)})
+            begin = end
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -123,12 +147,11 @@ def anchors(*f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: What goes to an anchor: 28 bytes, many to a blob, so that no row format and no luck with compression counts.
 _PLACED = np.dtype([("anchor", "<i4"), ("f", "<u8", 3)])
-CHUNK = 4096
+CHUNK, PLACED = 1024, 400_000
 
 
 def _replicate(parts: int):
-    """Blobs of placed fingerprints, one a slot of anchors and chunk of fingerprints."""
-    slots = 4 * parts
+    """Blobs of placed fingerprints, one a slot of anchors and chunk of fingerprints; a slot is a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +159,7 @@ def _replicate(parts: int):
                 part = batch.slice(begin, CHUNK)
                 f = np.stack([part.column(f"f{i}").to_numpy().view(np.uint64) for i in range(3)], axis=1)
                 row, anchor = anchors(*f.T)
-                slot = (mix(anchor.astype(np.uint64)) % np.uint64(slots)).astype(np.int32)
+                slot = (mix(anchor.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
                 order = np.argsort(slot, kind="stable")
                 placed = np.empty(len(order), dtype=_PLACED)
                 placed["anchor"], placed["f"] = anchor[order], f[row[order]]
@@ -169,13 +192,22 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
-def partition_edges(anchor: np.ndarray, f: np.ndarray, block: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint rows of a, of b) of a spanning forest of all near pairs sharing an anchor."""
+def spanning(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer edges that connect the same rows."""
+    used = np.unique(np.r_[left, right])
+    label = forest(len(used), np.searchsorted(used, left), np.searchsorted(used, right))
+    child = np.flatnonzero(label != np.arange(len(used)))
+    return used[child], used[label[child]]
+
+
+def partition_edges(anchor: np.ndarray, f: np.ndarray, block: int = 1 << 18, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (fingerprint rows of a, of b) of a spanning forest of all near pairs sharing an anchor. Pairs are
+    compared `block` at a time; more than `most` near ones become a forest of their rows."""
     order = np.argsort(anchor, kind="stable")
     anchor, f = anchor[order], f[order]
     starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     sizes = np.diff(np.r_[starts, len(anchor)])
-    lefts, rights = [], []
+    lefts, rights, held = [], [], 0
     # each row against those after it in its group, in pieces of bounded size
     rest = np.repeat(starts + sizes, sizes) - np.arange(len(anchor)) - 1
     rows = np.flatnonzero(rest)
@@ -189,7 +221,11 @@ def partition_edges(anchor: np.ndarray, f: np.ndarray, block: int = 4_000_000) -
         near = near_pairs(f, left, right)
         lefts.append(left[near])
         rights.append(right[near])
-        done = upto
+        held, done = held + len(lefts[-1]), upto
+        if held > most:
+            left, right = spanning(np.concatenate(lefts), np.concatenate(rights))
+            # a forest has fewer edges than rows, so the next one is due after as many new pairs again
+            lefts, rights, held = [left], [right], 0
     left, right = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (lefts, rights))
     if not len(left):
         return f[:0], f[:0]
@@ -221,11 +257,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = Table(fingerprints(docs))
     one = prints.df.groupBy("doc_id").agg(F.min(F.struct("f0", "f1", "f2")).alias("f")).select("doc_id", "f.*")
     nodes = Table(one.groupBy("f0", "f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
-    # enough partitions that one is a few dozen MB at any size: about 61 * TABLES times 28 bytes a node
+    # partitions of one size at any size of the input: a node has about 61 * TABLES places
     spark, count = docs.sparkSession, nodes.df.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * 61 * TABLES // 1_000_000))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * 61 * TABLES // PLACED))
     placed = nodes.df.select("f0", "f1", "f2").mapInArrow(_replicate(parts), "slot int, placed binary")
-    edges = Table(placed.repartition(parts, "slot").mapInArrow(_compare, ", ".join(f"{x} long" for x in _EDGE)).distinct())
+    edges = Table(placed.repartitionById(parts, "slot").mapInArrow(_compare, ", ".join(f"{x} long" for x in _EDGE)).distinct())
     named = edges.df
     for side in "ab":
         names = nodes.df.select(*(F.col(f"f{i}").alias(f"{side}{i}") for i in range(3)), F.col("node").alias(side))

@@ -3,8 +3,10 @@ empty tables and extra columns with clashing names."""
 
 import collections
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +171,55 @@ def test_near_is_hamming_distance_over_all_bits():
     assert met[apart <= 19].all() and met.mean() >= 0.9
 
 
+def peak_of(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_near_pairs_of_a_large_cluster_take_little_memory():
+    """4.5 million near pairs at one anchor, and the groups that they make."""
+    rng = np.random.default_rng(41)
+    n = 3000
+    f = np.zeros((n + 2, 3), dtype=np.uint64)
+    f[:n, 0] = np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    f[:n, 1] = np.arange(n, dtype=np.uint64) & np.uint64(0xFFF)
+    f[n:, 2] = [0xFFFFFFFFFFFF, 0xFFFFFFFFFFFE]
+    (a, b), peak = peak_of(lambda: simhash.partition_edges(np.zeros(len(f), dtype=np.int32), f))
+    assert peak < 60
+    nodes, node = np.unique(np.r_[f, a, b], axis=0, return_inverse=True)
+    label = simhash.forest(len(nodes), node.ravel()[len(f) : len(f) + len(a)], node.ravel()[len(f) + len(a) :])[node.ravel()[: len(f)]]
+    assert len(nodes) == n + 2 and len(set(label[:n].tolist())) == 1 and len(set(label.tolist())) == 2
+    # near ones become a forest several times over
+    small = simhash.partition_edges(np.zeros(len(f), dtype=np.int32), f, 1000, 5000)
+    assert {len(np.unique(np.r_[x, y], axis=0)) for x, y in (small, (a, b))} == {n + 2}
+
+
+def test_slots_of_anchors_are_even():
+    f = np.random.default_rng(42).integers(0, 1 << 63, (2000, 3))
+    batch = pa.RecordBatch.from_arrays([pa.array(f[:, i]) for i in range(3)], names=["f0", "f1", "f2"])
+    size = collections.Counter()
+    for b in simhash._replicate(40)(iter([batch])):
+        for slot, blob in zip(b.column(0).to_pylist(), b.column(1)):
+            size[slot] += len(blob.as_buffer())
+    assert set(size) == set(range(40)) and max(size.values()) < 1.2 * min(size.values())
+
+
+def test_fingerprints_of_long_texts_take_little_memory():
+    rng = random.Random(43)
+    texts = [" ".join(f"v{i}" for i in range(150_000)), None, "", "one two", *(words(rng, 3000) for _ in range(150))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), type=pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    found, peak = peak_of(lambda: [tuple(r.values()) for b in simhash._fingerprints(iter([batch])) for r in b.to_pylist()])
+    assert peak < 75 and [r[0] for r in found] == list(range(len(texts)))
+    one = np.array(brute_fingerprints(texts)).view(np.int64)
+    assert [r[1:] for r in found] == [tuple(x) for x in one.tolist()]
+    # against plain sums over all words of the long one, where each occurs once
+    bits = np.unpackbits(simhash.word_bits(texts[0].split()).view(np.uint8).reshape(-1, 24), axis=1, bitorder="little")
+    assert (np.packbits(2 * bits.sum(0, dtype=np.int64) > len(bits), bitorder="little").view("<u8") == one[0].view(np.uint64)).all()
+
+
 def test_mixing_against_sorting(spark, docs, empty):
     for weights, keep in ((None, 0.8), ({"s0": 2.0, "s1": 1.0}, 0.5), ({}, 1.0)):
         rows = [(r.doc_id, r.source, len((r.text or "").replace("\t", " ").replace("\n", " ").split()), r.h) for r in docs.select("doc_id", "source", "text", mixing.doc_hash(F.col("doc_id")).alias("h")).collect()]
