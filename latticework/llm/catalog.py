@@ -48,7 +48,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.near_pairs(table(spark, sf_dir, "embeddings"))
+    return embeddings.near_groups(table(spark, sf_dir, "embeddings"))
 
 
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,10 +15,13 @@ is shuffled is a cell, an id and the vector as it came (4 bytes an entry for flo
 node; crowded cells are split among tasks. Each dimension that occurs has a grid of its own; dimensions of up to
 BRUTE_ROWS vectors are compared all with all, a task a dimension.
 
+The result is a row an id: near_groups gives the class (all that near pairs connect, named by the smallest id) and
+the number of links, those of copies counted and not listed; so rows grow as the table does. near_pairs lists them.
+
 Defined results: null vectors, those with a null, nan or infinite entry or of length 0 have no pairs, nor do
-vectors of different dimensions; pairs are given once, the smaller id first, with every pair of ids whose
-vectors are near; repeated rows of one id are one vector (the smallest); a null id is never reported; an
-empty table gives no pairs; other columns don't matter.
+vectors of different dimensions; such an id is a class by itself, without links; pairs are given once, the smaller
+id first, with every pair of ids whose vectors are near; repeated rows of one id are one vector (the smallest); a
+null id is never reported; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,16 +33,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.llm.common import Table, ragged, spread
+from latticework.llm.common import Table, ragged, settled, spread
+from latticework.llm.components import components
 from latticework.llm.windows import mix
 
 THRESHOLD, TARGET, CELL_ROWS, BRUTE_ROWS = 0.85, 0.97, 512, 4096
 SPLIT_ROWS, ROUNDS = 4096, 8
 
 SQL = """
-select a.vec_id, b.vec_id as other_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) as cosine
-from embeddings a join embeddings b on a.vec_id < b.vec_id
-where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.85
+with recursive ids as (select distinct vec_id from embeddings where vec_id is not null),
+near as materialized (
+  select distinct a.vec_id, b.vec_id as other_id from embeddings a join embeddings b on a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.85),
+links as (select vec_id, count(*) as links from near group by vec_id),
+reached as (
+  select vec_id, vec_id as class_id from ids
+  union select other_id, class_id from reached join near using (vec_id) where class_id < other_id)
+select vec_id, min(class_id) as class_id, coalesce(any_value(links), 0) as links
+from reached left join links using (vec_id) group by vec_id
 """
 
 
@@ -168,8 +179,8 @@ def calibrate(nodes: DataFrame, grid: Grid, dim: int, threshold: float) -> tuple
     return visits, n
 
 
-def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, other_id, cosine) of all pairs found at or above the threshold."""
+def _nodes(embeddings: DataFrame, threshold: float) -> tuple[Table, Table, DataFrame]:
+    """Vectors of ids, distinct ones with the smallest id and the number of ids, and (a, b, cosine) of near distinct ones."""
     spark = embeddings.sparkSession
     kind = "float" if embeddings.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
     base = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
@@ -185,6 +196,30 @@ def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     for r in dims:  # those with so many vectors that one task is not enough
         if r["rows"] > BRUTE_ROWS:
             pairs = pairs.unionAll(_grid_pairs(nodes.df.where(F.col("dim") == r["dim"]), r["dim"], r["rows"], kind, threshold))
+    return whole, nodes, pairs
+
+
+def near_groups(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(vec_id, class_id, links): a row an id, the smallest id that pairs at or above the threshold connect it to, and how
+    many other ids it has such a pair with."""
+    whole, nodes, pairs = _nodes(embeddings, threshold)
+    found = Table(pairs.select("a", "b"))
+    roots = components(found.df)
+    # a link to a node is one to each of its ids
+    ends = found.df.unionAll(found.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    size = nodes.df.select(F.col("vec_id").alias("b"), "n")
+    links = ends.join(size, "b").groupBy("a").agg(F.sum("n").alias("across"))
+    known = nodes.df.select("v", F.col("vec_id").alias("node"), "n").join(links.withColumnRenamed("a", "node"), "node", "left").join(roots.df, "node", "left")
+    known = known.select("v", F.coalesce("root", "node").alias("class_id"), (F.col("n") - 1 + F.coalesce("across", F.lit(0))).alias("links"))
+    known = whole.df.join(known, "v").select("vec_id", "class_id", "links")
+    ids = embeddings.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id is not null").distinct()
+    every = ids.join(known, "vec_id", "left").select("vec_id", F.coalesce("class_id", "vec_id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return settled(every, whole, nodes, found, roots)
+
+
+def near_pairs(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(vec_id, other_id, cosine) of all pairs found at or above the threshold."""
+    whole, nodes, pairs = _nodes(embeddings, threshold)
     # from nodes back to ids: those of equal vectors, and all ids of two near nodes
     member = whole.df.join(nodes.df.select("v", F.col("vec_id").alias("node"), "n"), "v").select("vec_id", "node", "n")
     m1, m2 = member.select(F.col("vec_id").alias("x"), F.col("node").alias("a")), member.select(F.col("vec_id").alias("y"), F.col("node").alias("b"))

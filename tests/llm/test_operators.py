@@ -593,6 +593,36 @@ def test_embeddings_of_several_dimensions(spark):
     assert got == {(0, 1), (0, 2), (1, 2), (10, 11), (10, 12), (11, 12), (20, 21)}
 
 
+@pytest.mark.parametrize("brute", [4096, 0])
+def test_embedding_groups_have_a_row_an_id(spark, monkeypatch, brute):
+    monkeypatch.setattr(embeddings, "BRUTE_ROWS", brute)
+    rng = np.random.default_rng(44)
+    base = rng.normal(size=(40, 16))
+    x = np.r_[base, np.repeat(base[:1], 70, axis=0), base[1:9] + rng.normal(scale=0.05, size=(8, 16)), base[:2] + 0.01]
+    rows = [(i, [float(y) for y in v], "clash") for i, v in enumerate(x)]
+    rows += [(900, None, "x"), (901, [], "x"), (902, [0.0] * 16, "x"), (903, [1.0] * 4, "x"), (904, [float("nan")] * 16, "x"), (None, rows[0][1], "x"), rows[5]]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, class_id string")
+    got = {tuple(r) for r in embeddings.near_groups(frame).collect()}
+    near = embeddings.unit(x) @ embeddings.unit(x).T >= embeddings.THRESHOLD
+    label = simhash.forest(len(x), *np.nonzero(np.triu(near, 1)))
+    assert got == {(i, int(label[i]), int(near[i].sum()) - 1) for i in range(len(x))} | {(i, i, 0) for i in range(900, 905)}
+    assert embeddings.near_groups(frame.where("false")).count() == 0
+
+
+def test_embedding_groups_against_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(45)
+    base = rng.normal(size=(30, 16))
+    x = np.r_[base, base[:9] + rng.normal(scale=0.2, size=(9, 16)), base[:5], base[:3] + rng.normal(scale=0.3, size=(3, 16))]
+    rows = [(int(i), v) for i, v in zip(rng.permutation(len(x)), x.tolist())]
+    embeddings_ = pa.table({"vec_id": [r[0] for r in rows] + [rows[0][0], None, 99], "embedding": [r[1] for r in rows] + [rows[0][1], rows[1][1], None]})
+    expected = duckdb.sql(embeddings.SQL.replace("from embeddings", "from embeddings_").replace("join embeddings", "join embeddings_")).fetchall()
+    got = embeddings.near_groups(spark.createDataFrame([*rows, rows[0], (None, rows[1][1]), (99, None)], "vec_id long, embedding array<double>"))
+    assert got.columns == ["vec_id", "class_id", "links"] and sorted(map(tuple, got.collect())) == sorted(expected)
+    assert len(expected) == len(x) + 1 and sum(r[2] > 1 for r in expected) > 3
+
+
 def test_pages_lose_what_their_host_repeats(spark):
     rng = random.Random(8)
     rows = [(i, f"http://a.org/{i}", f"<html><body><nav class=x><a>home</a><a>about</a></nav><article><h1>t{i}</h1><p>{words(rng, 30)}<p>{words(rng, 20)}</article><div class='ad'>buy {i % 3}</div><script>x<p>y</script><!-- c --></body>") for i in range(40)]
