@@ -7,6 +7,10 @@ smallest row. Digits widen as groups shrink, from one that moves no text at all;
 group whose texts end inside the digit is a set of equal documents. Equality is always that of the bytes
 themselves, never of a digest. No window holds texts, and adaptive execution may cut a digit of many rows.
 
+The plan is one at any size. Before text moves, a bitmap of BUCKETS bits, which has the buckets of all repeated
+first digits, lets most single documents go; a bucket that digits share only lets more through, to be counted
+by their bytes in the rounds after it. The rounds always shuffle.
+
 Defined results: null texts equal nothing and are kept; empty texts equal one another; the smallest
 doc_id of a group stays; rows that repeat a doc_id with the same text are one document; a null doc_id
 is never reported and its row is kept; a doc_id with several texts has a row a text that is a copy, and
@@ -17,12 +21,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import Table, fitting, settled, small
+from latticework.llm.common import Table, settled, small
 
 FIRST_DIGIT, WIDEN = 64, 4
+#: Bits of the bitmap: a word of 64 a row, so that it can be broadcast at any size of the input.
+BUCKETS = 1 << 23
 
 #: DuckDB SQL for exact_duplicates over {docs}.
 SQL = """
@@ -42,13 +48,29 @@ def _text_hash(text):
     return F.xxhash64(text.cast("binary"))
 
 
+def _bucket(digit: Column) -> Column:
+    return F.pmod(F.xxhash64(digit), F.lit(BUCKETS))
+
+
+def _bit(bucket: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bucket, F.lit(64)).cast("int"))
+
+
+def _repeated(base: DataFrame, digit: Column) -> DataFrame:
+    """(word, bits) of the buckets of digits that several documents have: BUCKETS / 64 rows at most."""
+    several = base.select("doc_id", digit.alias("digit")).groupBy("digit").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
+    bucket = several.select(_bucket(F.col("digit")).alias("bucket"))
+    return bucket.groupBy(F.floor(F.col("bucket") / 64).alias("word")).agg(F.bit_or(_bit(F.col("bucket"))).alias("bits"))
+
+
 def _copies(docs: DataFrame) -> DataFrame:
     """exact_duplicates with hash, that of the text by which a doc_id's rows are told apart."""
     base = docs.select("doc_id", _text_hash(F.col("text")).alias("hash"), F.col("text").cast("binary").alias("rest")).where("doc_id is not null and rest is not null")
     several = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high")]
     digit = F.expr(f"substring(rest, 1, {FIRST_DIGIT})")
-    repeated = Table(base.select("doc_id", digit.alias("digit_")).groupBy("digit_").agg(*several).where("low <> high").select("digit_"))
-    last = Table(base.join(fitting(repeated, "digit_"), digit == F.col("digit_"), "left_semi").withColumns({"row": F.monotonically_increasing_id(), "grp": F.lit(0).cast("long")}))
+    repeated = Table(_repeated(base, digit))
+    kept = base.withColumn("bucket", _bucket(digit)).join(F.broadcast(repeated.df), F.floor(F.col("bucket") / 64) == F.col("word")).where(F.col("bits").bitwiseAND(_bit(F.col("bucket"))) != 0)
+    last = Table(kept.drop("bucket", "word", "bits").withColumns({"row": F.monotonically_increasing_id(), "grp": F.lit(0).cast("long")}))
     repeated.drop()
     width, found = FIRST_DIGIT * WIDEN, []
     while True:
@@ -57,7 +79,7 @@ def _copies(docs: DataFrame) -> DataFrame:
         groups = Table(keyed.select("doc_id", "row", "grp", "digit").groupBy("grp", "digit").agg(*several, F.min("row").alias("name")).where("low <> high").select(F.col("grp").alias("grp_"), F.col("digit").alias("digit_"), "low", "name"))
         same = (F.col("grp") == F.col("grp_")) & (F.col("digit") == F.col("digit_"))
         ended = F.length("digit") < width
-        split = Table(keyed.join(fitting(groups, "digit_"), same).select("doc_id", "hash", "row", "low", F.col("name").alias("grp"), ended.alias("ended"), F.when(~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest")))
+        split = Table(keyed.hint("merge").join(groups.df, same).select("doc_id", "hash", "row", "low", F.col("name").alias("grp"), ended.alias("ended"), F.when(~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest")))
         last.drop()
         groups.drop()
         ended_pairs = Table(split.df.where("ended").select("doc_id", "hash", F.col("low").alias("keep_id"), "grp").distinct())

@@ -92,6 +92,21 @@ def test_exact_on_random_rows_with_repeated_ids(spark):
     assert sorted(tuple(r) for r in exact.exact_duplicates(frame).collect()) == expected
 
 
+def test_exact_where_digits_share_buckets(spark, monkeypatch):
+    import duckdb
+
+    rng = random.Random(46)
+    rows = [(rng.randrange(60), "h" * rng.choice((0, 63, 64, 300)) + rng.choice("abcd") * rng.choice((0, 1, 70))) for _ in range(150)]
+    rows += [(100 + i, words(rng, 30)) for i in range(40)]
+    frame, listed = spark.createDataFrame(rows, "doc_id long, text string"), pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    expected = sorted(duckdb.sql(exact.SQL.format(docs="listed")).fetchall())
+    base = frame.select("doc_id", F.col("text").cast("binary").alias("rest"))
+    for buckets in (64, exact.BUCKETS):
+        monkeypatch.setattr(exact, "BUCKETS", buckets)
+        assert sorted(tuple(r) for r in exact.exact_duplicates(frame).collect()) == expected
+        assert exact._repeated(base, F.expr("substring(rest, 1, 64)")).count() <= buckets // 64
+
+
 def brute_fingerprints(texts):
     return [simhash.fingerprint_batch([t], simhash.Words(), simhash.Grown(np.uint64, 3))[0] for t in texts]
 
