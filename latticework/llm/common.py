@@ -7,6 +7,7 @@ only where the session names none.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -112,6 +113,15 @@ def slices(texts: list, chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def give_back() -> None:
+    """Freed memory of this process goes back to the system, where the C library has a call for that (glibc); otherwise it
+    may be kept for as long as the process runs."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
 def segments_max(values: np.ndarray, lengths: np.ndarray, empty: float) -> np.ndarray:
     """Maximum of consecutive runs of the given lengths; `empty` for runs of none."""
     out = np.full(len(lengths), empty, dtype=np.float64)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import labelled_sample, ragged, segments_max, slices
+from latticework.llm.common import give_back, labelled_sample, ragged, segments_max, slices
 
 #: Bounds of the labelled sample: clean and toxic documents, and clean windows drawn by hash before hard ones join.
 SAMPLE, CLEAN_WINDOWS = (4000, 2000), 12_000
@@ -111,6 +111,17 @@ class Stream:
             self.stop[:-1] = (ended[following[:-1]] != ended[last[:-1]]) | (self.text[1:] != self.text[:-1])
         self.letters = n
 
+    @classmethod
+    def sliced(cls, texts: list[str]) -> Stream:
+        """The same stream, made of some texts at a time: what is in between takes many times the memory of symbols."""
+        streams = [(b, cls(texts[b:e])) for b, e in slices(texts, SCORED)] or [(0, cls([]))]
+        out, at = streams[0][1], np.cumsum([0, *(len(s.symbols) - 1 for _, s in streams)])
+        out.starts = np.concatenate([s.starts[:-1] + a for (_, s), a in zip(streams, at)] + [at[-1:]])
+        out.symbols = np.concatenate([s.symbols[:-1] for _, s in streams] + [out.symbols[-1:]])
+        out.text = np.concatenate([s.text + b for b, s in streams])
+        out.stop, out.letters = (np.concatenate([getattr(s, of) for _, s in streams]) for of in ("stop", "letters"))
+        return out
+
     @staticmethod
     def _spelt(first: np.ndarray, place: np.ndarray) -> np.ndarray:
         """First letters that go on with the word before: all but the first of a run of single letters."""
@@ -151,13 +162,13 @@ class Scored:
         n, starts, end = stream.letters, stream.starts, len(stream.symbols)
         symbols = np.r_[stream.symbols, np.zeros(SPAN, dtype=np.uint32)]
         edge = np.r_[stream.symbols == EDGE, np.zeros(SPAN, dtype=bool)]
-        word = np.cumsum(edge, dtype=np.int32)  # of a symbol that begins a subsequence
-        upto = word - edge  # of one that ends it: an edge still belongs to the word before
         inside, across = np.zeros(end, dtype=np.float32), np.zeros(end, dtype=np.float32)
         # a block at a time, so that what is in between stays in the processor's cache
         for b in range(0, end, BLOCK):
             e = min(end, b + BLOCK)
             shifted = [symbols[b + o : e + o] for o in range(SPAN)]
+            word = np.cumsum(edge[b : e + SPAN], dtype=np.int32)  # of a symbol that begins a subsequence
+            upto = word - edge[b : e + SPAN]  # of one that ends it: an edge still belongs to the word before
             parts = [np.zeros(e - b, dtype=np.float32) for _ in range(SPAN)]
             for i in range(1, SPAN - 1):
                 one = shifted[0] << np.uint32(6) | shifted[i]
@@ -168,7 +179,7 @@ class Scored:
                         parts[k] += weight.take(_hashed(two << np.uint32(6) | shifted[k]))
             for last in range(2, SPAN):
                 parts[last] *= np.float32(LAMBDA**last)
-                crossed = upto[b + last : e + last] - word[b:e]
+                crossed = upto[last : e - b + last] - word[: e - b]
                 if e > end - last:
                     parts[last][end - last - b :] = 0
                 inside[b:e] += np.where(crossed == 0, parts[last], 0)
@@ -336,6 +347,10 @@ class Windows:
         at = np.flatnonzero(self.stream.letters > k)
         return at, self.of(self.stream.starts[at], self.stream.starts[at] + 1 + k)
 
+    def kind(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word of each, hash) of words, pairs and the stems in STEMS, by number."""
+        return (np.arange(len(self.stream.letters)), self.words()) if k == 0 else self.pairs() if k == 1 else self.stems(STEMS[k - 2])
+
     def contexts(self, first: np.ndarray, many: int) -> np.ndarray:
         """Hash of each run of words with the word on either side: copies of a passage count once."""
         last = len(self.stream.letters)
@@ -385,26 +400,28 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     # so often that a window that is as common in clean documents would hardly be in toxic ones alone
     evidence = max(2, int(np.ceil(np.log(CHANCE) / np.log(n_bad / (n_bad + n_clean)))))
     evidence = min(evidence, max(2, n_bad // 4))
-    stream = Stream([texts[i] for i in np.flatnonzero(~held & (label == 1))])
+    stream = Stream.sliced([texts[i] for i in np.flatnonzero(~held & (label == 1))])
     bad = Windows(stream)
     n_words = len(stream.letters)
-    pair_at, pair_hash = bad.pairs()
-    kinds = [(np.arange(n_words), bad.words()), (pair_at, pair_hash), *(bad.stems(k) for k in STEMS)]
-    often = [_in_contexts(bad, at, h, 1 + (k == 1)) for k, (at, h) in enumerate(kinds)]
+    often = [_in_contexts(bad, *bad.kind(k), 1 + (k == 1)) for k in range(2 + len(STEMS))]
+    bad = None  # made again when the clean ones are counted
+    give_back()
     n_bad, n_clean = n_words, 0
     clean = [np.zeros(len(h), dtype=np.int64) for h, _ in often]
     fine_texts = [texts[i] for i in np.flatnonzero(~held & (label == 0))]
     for b, e in slices(fine_texts):
-        own_stream = Stream(fine_texts[b:e])
+        own_stream = Stream.sliced(fine_texts[b:e])
         own = Windows(own_stream)
         n_clean += len(own_stream.letters)
         for k in range(2 + len(STEMS)):
-            at, h = (np.arange(len(own_stream.letters)), own.words()) if k == 0 else own.pairs() if k == 1 else own.stems(STEMS[k - 2])
-            clean[k] += _count(often[k][0], *_in_contexts(own, at, h, 1 + (k == 1)))
+            clean[k] += _count(often[k][0], *_in_contexts(own, *own.kind(k), 1 + (k == 1)))
+        own = own_stream = None
+        give_back()
+    bad = Windows(stream)
     telling = [(c >= evidence) & (x * n_bad <= STRAY * c * n_clean) for (_, c), x in zip(often, clean)]
 
     def which(k: int, flags: np.ndarray) -> np.ndarray:
-        at, h = kinds[k]
+        at, h = bad.kind(k)
         out = np.zeros(n_words, dtype=bool)
         out[at] = _count(h, often[k][0], flags.astype(np.int64)) > 0
         return out
@@ -425,7 +442,8 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         for w in bad.bytes_of(first, np.full(len(first), many)):
             chosen[w] = chosen.get(w, 0) + 1
     known = which(0, clean[0] > 0)
-    kinds = often = clean = telling = bad.sums = bad.back = None  # the hashes have served
+    often = clean = telling = bad.sums = bad.back = None  # the hashes have served
+    give_back()
     fine = [w for w in _drawn(fine_texts) if w not in chosen]
     rng = np.random.default_rng(0)
     model = nothing
@@ -433,6 +451,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     clean_words = {w for w in fine if w.count(EDGE) == 2}
     for round_ in range(ROUNDS + 1):
         model = _fit(chosen, fine, hard, rng)
+        give_back()
         if round_ == ROUNDS:
             break
         # the worst window of each toxic sentence, if it scores as one and no clean document has it, joins
@@ -446,6 +465,8 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         for w in bad.bytes_of(worst[new & (many == 1)], many[new & (many == 1)]):
             if w not in clean_words:
                 chosen.setdefault(w, 1)
+        scored = best = top = None
+        give_back()
         for b, e in slices(fine_texts, SCORED):
             own_stream = Stream(fine_texts[b:e])
             own, scored = Windows(own_stream), Scored(own_stream, model.weight, model.bias)
@@ -532,7 +553,12 @@ def calibrate(clean: np.ndarray, bad: np.ndarray) -> float:
 
 def fit(labels: DataFrame, docs: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
     rows = labelled_sample(labels, docs, "toxic", sample).orderBy("doc_id").collect()
-    return train([r.text for r in rows], [r.label for r in rows])
+    texts, toxic = [r.text for r in rows], [r.label for r in rows]
+    del rows
+    model = train(texts, toxic)
+    del texts
+    give_back()  # the driver goes on
+    return model
 
 
 def _scorer(sent, at: int, result):

@@ -427,6 +427,37 @@ def test_toxicity_held_out(toxic_model):
     assert not any(toxic_model.scores(["drop the", "he is dead", "red", "clothing", "standing"]) > toxic_model.threshold)
 
 
+def test_toxicity_trains_in_little_memory(spark, docs, labels, toxic_model, monkeypatch):
+    texts, toxic = labelled_texts(3)
+    texts = [" ".join([t] * 40) if x else t for t, x in zip(texts, toxic)]
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "_fit", lambda *_: toxic_model)
+        model, peak = peak_of(lambda: toxicity.train(texts, toxic))
+    assert peak < 130 and model.scores(["the idiot of"])[0] > model.threshold
+    odd = [*texts[:40], "", "a b c d", "x", "e. f\n\n", "İ ! 1d", *texts[40:90], ""]
+    monkeypatch.setattr(toxicity, "SCORED", 9000)
+    whole, parts = toxicity.Stream(odd), toxicity.Stream.sliced(odd)
+    assert all(np.array_equal(getattr(whole, k), getattr(parts, k)) for k in ("symbols", "starts", "text", "stop", "letters"))
+
+    # what training had in many parts goes back to the system, also where something above it stays
+    def held():
+        with open("/proc/self/status") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("RssAnon")) / 1000
+
+    kept = []
+
+    def many(*_):
+        blocks = [np.ones(5000) for _ in range(5000)]
+        kept.append(np.ones(100))
+        kept.append(held())
+        del blocks
+        return model
+
+    monkeypatch.setattr(toxicity, "train", many)
+    toxicity.fit(labels, docs)
+    assert held() < kept[1] - 120
+
+
 def test_toxicity_of_labelled_documents(spark):
     frame, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = frame.join(marks, "doc_id").where("lang = 'en' and toxic is not null").orderBy("doc_id").select("text", "toxic").collect()
