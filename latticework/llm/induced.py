@@ -340,36 +340,35 @@ class _Range:
 
     def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefixes of items a with items b that come after them in order."""
-        out, done = np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64)
-        live = np.arange(len(a))
-        while len(live):
-            live = live[self.symbol[a[live]] == self.symbol[b[live]]]
-            if not len(live):
-                break
-            x, y = a[live], b[live]
-            sx, sy = self.seed(x), self.seed(y)
-            both = sx & sy
-            if both.any():
-                own = live[both]
-                out[own] = done[own] + self.seeds.of(a[own] - self.q, b[own] - self.q)
-            one = sx ^ sy
-            if one.any():  # where S follows L under one symbol, their runs of it tell
-                own = live[one]
-                out[own] = done[own] + np.minimum(self.text.runs(self.position[a[own]]), self.text.runs(self.position[b[own]]))
-            rest = ~sx & ~sy
-            cx, cy = self.chain[x], self.chain[y]
-            queued = rest & (cx < 0) & (cy < 0)
-            if queued.any():
-                own = live[queued]
-                out[own] = done[own] + 1 + self.queue.of(a[own], b[own])
-            # the next suffix of a queued item begins outside the range
-            out[live[rest & ((cx < 0) ^ (cy < 0))]] = done[live[rest & ((cx < 0) ^ (cy < 0))]] + 1
-            on = rest & (cx >= 0) & (cy >= 0)
-            live = live[on]
-            a, b = a.copy(), b.copy()
-            a[live], b[live] = cx[on], cy[on]
-            done[live] += 1
-            out[live] = done[live]
+        out = np.zeros(len(a), dtype=np.int64)
+        own, depth = np.arange(len(a)), 0
+        ended = [(own[:0],) * 4]  # (pairs, symbols that they share so far, items, items after them) where chains end
+        while len(own):
+            same = self.symbol[a] == self.symbol[b]
+            own, a, b = own[same], a[same], b[same]
+            cx, cy = self.chain[a], self.chain[b]
+            on = (cx >= 0) & (cy >= 0)
+            off = ~on
+            ended.append((own[off], np.full(len(own) - int(on.sum()), depth), a[off], b[off]))
+            own, a, b = own[on], cx[on], cy[on]
+            depth += 1
+            out[own] = depth
+        own, done, a, b = (np.concatenate(x) for x in zip(*ended))
+        sx, sy = self.seed(a), self.seed(b)
+        both = sx & sy
+        if both.any():
+            out[own[both]] = done[both] + self.seeds.of(a[both] - self.q, b[both] - self.q)
+        one = sx ^ sy
+        if one.any():  # where S follows L under one symbol, their runs of it tell
+            out[own[one]] = done[one] + np.minimum(self.text.runs(self.position[a[one]]), self.text.runs(self.position[b[one]]))
+        rest = ~sx & ~sy
+        cx, cy = self.chain[a], self.chain[b]
+        queued = rest & (cx < 0) & (cy < 0)
+        if queued.any():
+            out[own[queued]] = done[queued] + 1 + self.queue.of(a[queued], b[queued])
+        # the next suffix of a queued item begins outside the range
+        outside = rest & ~queued
+        out[own[outside]] = done[outside] + 1
         return out
 
 

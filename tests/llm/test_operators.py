@@ -314,6 +314,26 @@ def test_suffix_order_and_common_prefixes_in_memory_and_on_disk(tmp_path):
     assert not [p for p in (tmp_path / "runs").rglob("*") if p.is_file()]  # nothing is left behind
 
 
+def test_chains_are_walked_once(tmp_path, monkeypatch):
+    """Ends of long chains of induced suffixes are looked up together, a range at a time."""
+    calls = collections.Counter()
+    for kind, name in ((induced.Text, "runs"), (induced.Least, "of"), (induced._Range, "shared")):
+        def counted(self, *args, was=getattr(kind, name), name=name):
+            calls[name] += 1
+            return was(self, *args)
+
+        monkeypatch.setattr(kind, name, counted)
+    rng = np.random.default_rng(9)
+    part = [np.r_[np.full(rng.integers(1, 4), 40), np.sort(rng.integers(1, 40, 60))[:: rng.choice([-1, 1])]] for _ in range(40)]
+    text = np.r_[np.concatenate([part[i] for i in rng.integers(0, 40, 90)]), 0]
+    whole = text.tolist()
+    expected = sorted(range(len(text)), key=lambda i: whole[i:])
+    shared = [0] + [next(k for k in range(len(text)) if whole[a + k] != whole[b + k]) for a, b in zip(expected, expected[1:])]
+    order, lcp = induced.suffix_array(text, 3000, f"file://{tmp_path}/runs")
+    assert order.tolist() == expected and lcp.tolist() == shared
+    assert calls["runs"] <= 4 * calls["shared"] and calls["of"] <= 5 * calls["shared"]
+
+
 def brute_windows(contexts, lo, hi):
     seen = collections.defaultdict(list)
     for c, words_ in enumerate(contexts):
