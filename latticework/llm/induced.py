@@ -11,7 +11,8 @@ in names; it becomes symbols by the places of their marks, and goes on where the
 
 Text, marks, names, orders, prefixes and queues are files in the spill folder beyond `limit` rows each, read
 in pieces. In memory are some `limit` rows, cut so that a range of symbols has about as many; a symbol
-that is commoner than that comes off a queue whole.
+that is commoner than that comes off a queue whole. Of a file that is read at scattered places, KEPT pieces
+of `limit` rows stay in memory; its other pieces are read each time.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
+#: Pieces of a file that stay in memory once take() has read them.
+KEPT = 8
+
 
 class Store:
     """Where arrays go that have more than `limit` rows; spilled counts what went there."""
@@ -49,6 +53,7 @@ class Rows:
         self.parts: list[np.ndarray] = []
         self.n = self.filed = 0
         self.out = self.path = self.reader = None
+        self.kept: dict[int, np.ndarray] = {}
 
     def append(self, rows: np.ndarray) -> None:
         if len(rows):
@@ -88,14 +93,22 @@ class Rows:
             return self.slice(0, self.n)[places]
         step = max(1, self.store.limit)
         out = np.empty(len(places) if self.width == 1 else (len(places), self.width), dtype=np.int64)
-        order = np.argsort(places, kind="stable")
-        ranked = places[order]
-        at = 0
-        while at < len(ranked):
-            low = int(ranked[at])
-            upto = int(np.searchsorted(ranked, low + step))
-            out[order[at:upto]] = self.slice(low, int(ranked[upto - 1]) + 1)[ranked[at:upto] - low]
-            at = upto
+        piece = places // step
+        count = np.bincount(piece, minlength=1)
+        used = np.flatnonzero(count)
+        if len(used) <= KEPT:
+            groups = (np.flatnonzero(piece == k) if len(used) > 1 else slice(None) for k in used)
+        else:
+            groups = np.split(np.argsort(piece, kind="stable"), np.cumsum(count[used])[:-1])
+        for k, own in zip(used.tolist(), groups):
+            at, low = places[own], k * step
+            if k not in self.kept and len(self.kept) < KEPT:
+                self.kept[k] = self.slice(low, low + step)
+            if k in self.kept:
+                out[own] = self.kept[k][at - low]
+            else:
+                low = int(at.min())
+                out[own] = self.slice(low, int(at.max()) + 1)[at - low]
         return out
 
     def pieces(self, back: bool = False) -> Iterator[tuple[int, np.ndarray]]:
@@ -109,7 +122,7 @@ class Rows:
             (self.reader or self.out).close()
             self.store.system.delete_file(self.path)
         self.out = self.reader = None
-        self.parts, self.n = [], 0
+        self.parts, self.n, self.kept = [], 0, {}
 
 
 def scattered(pairs: Rows, n: int) -> Rows:
@@ -338,6 +351,30 @@ class _Range:
     def seed(self, i: np.ndarray) -> np.ndarray:
         return (i >= self.q) & (i < self.q + self.s)
 
+    def neighbours(self, order: np.ndarray) -> np.ndarray:
+        """Common prefixes of all items in order with the one before. Where the next suffixes of two neighbours
+        are neighbours, too, they share one symbol less; only other pairs are compared."""
+        before = np.full(len(order), -1)
+        before[order[1:]] = order[:-1]
+        item, prior = order[1:], order[:-1]
+        cx, cy = self.chain[prior], self.chain[item]
+        led = (cx >= 0) & (cy >= 0) & (self.symbol[prior] == self.symbol[item])
+        led[led] = before[cy[led]] == cx[led]
+        out = np.zeros(len(order), dtype=np.int64)  # by item
+        out[item[~led]] = self.shared(prior[~led], item[~led])
+        # links from each item to the one that tells, by doubling
+        live, links = item[led], np.zeros(len(order), dtype=np.int64)
+        to = np.arange(len(order))
+        to[live], links[live] = cy[led], 1
+        told = live
+        while len(told):
+            on = to[told]
+            links[told] += links[on]
+            to[told] = to[on]
+            told = told[links[to[told]] > 0]
+        out[live] = out[to[live]] + links[live]
+        return out[order]
+
     def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefixes of items a with items b that come after them in order."""
         out = np.zeros(len(a), dtype=np.int64)
@@ -424,9 +461,7 @@ def _induce(text: Text, seeds: Iterator[np.ndarray], flip: bool, keep_seeds: boo
         flag = np.zeros(len(position), dtype=np.int64)
         flag[q : q + s] = 1
         order = _settle(symbol * 2 + flag, known, chain)
-        lcp = np.zeros(len(order), dtype=np.int64)
-        held = _Range(text, symbol, position, (q, s), rows[:, 3], own[:, 1], chain)
-        lcp[1:] = held.shared(order[:-1], order[1:])
+        lcp = _Range(text, symbol, position, (q, s), rows[:, 3], own[:, 1], chain).neighbours(order)
         ranked, sym = position[order], symbol[order]
         result = np.c_[ranked, lcp, sym]
         out.append(result if keep_seeds else result[flag[order] == 0])

@@ -7,8 +7,8 @@ repeat as a whole. The rest, one place a distinct context, go to the shard of th
 one text, which external induced sorting (induced.py) orders, carrying common prefixes through the
 induction: neighbours that share LENGTH words form groups, and a group with two documents is a repeated
 window. A shard has about SHARD_WORDS words and may have any number: beyond MEMORY_ROWS rows its text, queues,
-orders and prefixes are files in the shared folder, read in pieces. In memory is a row a context, a
-ninetieth of the text.
+orders and prefixes are files in the shared folder, read in pieces. In memory are a row a context, a
+ninetieth of the text, and a bounded number of pieces (induced.KEPT).
 
 Defined results: a row a maximal run of repeated windows, as [begin, end) in words; documents of fewer
 than LENGTH words, null and empty texts have none; repeats inside one document alone don't count, nor

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from latticework.llm.common import Grown, Words
-
 LENGTH, GRAM = 50, 8
 RUN = LENGTH - GRAM + 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -41,20 +39,21 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return np.r_[best(x[:-rest], x[rest:]), x[-rest:]] if rest and len(x) > rest else x
 
 
-class Codes:
+class Codes(dict):
     """64-bit hashes of words, each hashed once a task."""
 
     def __init__(self):
-        self.words, self.hashes = Words(), Grown(np.uint64)
-
-    def of(self, words: list[str]) -> np.ndarray:
         import xxhash
 
-        new = self.words.fresh(words)
-        if new:
-            digest = xxhash.xxh64_intdigest
-            self.hashes.add(np.array([digest(w.encode("utf-8", "surrogatepass")) for w in new], dtype=np.uint64))
-        return self.hashes.data[self.words.of(words)]
+        super().__init__()
+        self.digest = xxhash.xxh64_intdigest
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = self.digest(word.encode("utf-8", "surrogatepass"))
+        return code
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 class Prefix:

@@ -334,6 +334,48 @@ def test_chains_are_walked_once(tmp_path, monkeypatch):
     assert calls["runs"] <= 4 * calls["shared"] and calls["of"] <= 5 * calls["shared"]
 
 
+def test_neighbours_follow_from_those_of_their_next_suffixes(tmp_path, monkeypatch):
+    """In a text of repeated long chains most common prefixes come by links; few pairs are walked."""
+    pairs = collections.Counter()
+
+    def counted(self, a, b, was=induced._Range.shared):
+        pairs.update(walked=len(a), all=len(self.position) - 1)
+        return was(self, a, b)
+
+    monkeypatch.setattr(induced._Range, "shared", counted)
+    rng = np.random.default_rng(9)
+    part = [np.r_[np.full(rng.integers(1, 4), 40), np.sort(rng.integers(1, 40, 60))[:: rng.choice([-1, 1])]] for _ in range(40)]
+    for limit in (10_000, 700):
+        text = np.r_[np.concatenate([part[i] for i in rng.integers(0, 6, 90)]), 0]
+        whole = text.tolist()
+        expected = sorted(range(len(text)), key=lambda i: whole[i:])
+        shared = [0] + [next(k for k in range(len(text)) if whole[a + k] != whole[b + k]) for a, b in zip(expected, expected[1:])]
+        order, lcp = induced.suffix_array(text, limit, f"file://{tmp_path}/runs")
+        assert order.tolist() == expected and lcp.tolist() == shared
+    assert 2 * pairs["walked"] < pairs["all"]
+
+
+def test_scattered_places_read_a_piece_once(tmp_path, monkeypatch):
+    """KEPT pieces of a file stay in memory, those beyond are read again, and values are right for both."""
+    store = induced.Store(64, f"file://{tmp_path}/runs")
+    rows, values = induced.Rows(store), np.arange(64 * (induced.KEPT + 3) + 5) * 7 % 1009
+    rows.append(values)
+    reads = []
+    monkeypatch.setattr(induced.Rows, "slice", lambda self, begin, end, was=induced.Rows.slice: reads.append((begin, end)) or was(self, begin, end))
+    rng = np.random.default_rng(3)
+    inner = rng.integers(0, 64 * 2, 50)
+    for _ in range(20):
+        assert rows.take(inner).tolist() == values[inner].tolist()
+    assert reads == [(0, 64), (64, 128)]
+    for n in (0, 1, 5, 300, 3000):
+        places = rng.integers(0, len(values), n)
+        assert rows.take(places).tolist() == values[places].tolist()
+    assert len(rows.kept) <= induced.KEPT and sum(map(len, rows.kept.values())) <= 64 * induced.KEPT
+    rows.drop()
+    assert not rows.kept
+    store.close()
+
+
 def brute_windows(contexts, lo, hi):
     seen = collections.defaultdict(list)
     for c, words_ in enumerate(contexts):
