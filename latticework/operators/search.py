@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions import points as P
@@ -66,13 +66,19 @@ def ray_cells(rays: DataFrame, n: int, dim: int = 3, truncate: bool = False) ->
     return rays.mapInArrow(run, "ray_id long, step int, " + ", ".join(f"{a} long" for a in names))
 
 
+#: What a ray's hit depends on.
+_RAY = [*(f"{k}{a}" for k in "sv" for a in AXES), "max_toi"]
+
+
 def _on_path(rays: DataFrame, voxels: DataFrame, spec: ChunkSpec, radius: float) -> DataFrame:
-    """rays x voxels in chunks that the ray's path, thickened, passes: points along each ray, half a
-    chunk apart, name the chunks around it; then voxels join by chunk."""
+    """Distinct rays x voxels in chunks that the ray's path, thickened, passes: points along each ray, half a
+    chunk apart, name the chunks around it; then voxels join by chunk. The planner takes the exploded
+    rays to be as small as the table they come from, so the join is told not to broadcast them."""
+    once = rays.select(*_RAY).distinct().repartition(int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     step = min(spec.shape) / 2
     length = F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2)
     many = F.ceil(length * F.col("max_toi") / step).cast("int")
-    along = rays.withColumn("__t", F.explode(F.sequence(F.lit(0), many)))
+    along = once.withColumn("__t", F.explode(F.sequence(F.lit(0), many)))
     # a ray that doesn't move has its start alone
     t = F.coalesce(F.least(F.try_divide(F.col("__t") * step, length), F.col("max_toi")), F.lit(0.0))
     reach = radius + step + 1
@@ -83,12 +89,20 @@ def _on_path(rays: DataFrame, voxels: DataFrame, spec: ChunkSpec, radius: float)
         at = at.withColumn(k, F.explode(F.sequence(low, high))).withColumn(k, F.col(k) * s)
     wanted = at.drop("__t").distinct()
     keyed = voxels.select(*AXES).withColumns(dict(zip(keys(spec), chunk_min(Vec.of(*AXES), spec).parts)))
-    return wanted.join(keyed, list(keys(spec))).drop(*keys(spec))
+    return wanted.hint("merge").join(keyed, list(keys(spec))).drop(*keys(spec))
+
+
+def _first(rays: DataFrame, hits: DataFrame, toi: Column) -> DataFrame:
+    """(ray_id, x, y, z, toi) of the least (toi, z, y, x) among the hits of each ray."""
+    best = hits.groupBy(*_RAY).agg(F.min(F.struct(toi.alias("toi"), "z", "y", "x")).alias("b"))
+    each = rays.select("ray_id", *_RAY).hint("merge").join(best, _RAY).groupBy("ray_id").agg(F.min("b").alias("b"))
+    return each.select("ray_id", "b.x", "b.y", "b.z", "b.toi")
 
 
 def cast_rays(rays: DataFrame, voxels: DataFrame, spec: ChunkSpec = ChunkSpec((16, 16, 16))) -> DataFrame:
     """The first voxel that each ray (ray_id, s, v, max_toi) meets: (ray_id, x, y, z, toi). Slab test in
-    Columns, then the least time of impact a ray; equal times go to the least (z, y, x)."""
+    Columns, then the least time of impact a ray; equal times go to the least (z, y, x). Equal rays are
+    cast once."""
     near, far = F.lit(0.0), F.col("max_toi").cast("double")
     for a in AXES:
         s, v, low = F.col(f"s{a}"), F.col(f"v{a}"), F.col(a)
@@ -97,8 +111,7 @@ def cast_rays(rays: DataFrame, voxels: DataFrame, spec: ChunkSpec = ChunkSpec((1
         near = F.greatest(near, F.when(v != 0, F.least(t0, t1)).when(inside, F.lit(0.0)).otherwise(F.lit(float("inf"))))
         far = F.least(far, F.when(v != 0, F.greatest(t0, t1)).when(inside, F.col("max_toi")).otherwise(F.lit(float("-inf"))))
     hits = _on_path(rays, voxels, spec, 0.0).withColumn("toi", near).where(near <= far)
-    best = hits.groupBy("ray_id").agg(F.min(F.struct("toi", "z", "y", "x")).alias("b"))
-    return best.select("ray_id", "b.x", "b.y", "b.z", "b.toi")
+    return _first(rays, hits, F.col("toi"))
 
 
 #: Edges of a cube as (axis, corner whose coordinate on it is 0), and its corners.
@@ -139,7 +152,7 @@ def ball_toi(start: np.ndarray, velocity: np.ndarray, low: np.ndarray, radius: f
 
 def cast_balls(rays: DataFrame, voxels: DataFrame, radius: float, spec: ChunkSpec = ChunkSpec((16, 16, 16))) -> DataFrame:
     """The first voxel that a ball moving along each ray touches: (ray_id, x, y, z, toi). Only voxels whose box,
-    grown by the radius, the ray meets are looked at."""
+    grown by the radius, the ray meets are looked at. Equal rays are cast once."""
     near = _on_path(rays, voxels, spec, radius)
     meets, low, high = F.lit(True), F.lit(0.0), F.col("max_toi").cast("double")
     for a in AXES:
@@ -155,12 +168,11 @@ def cast_balls(rays: DataFrame, voxels: DataFrame, radius: float, spec: ChunkSpe
             s, v, p = (np.stack([batch.column(f"{k}{a}").to_numpy(zero_copy_only=False) for a in AXES], axis=1).astype(np.float64) for k in ("s", "v", ""))
             toi = ball_toi(s, v, p, radius)
             hit = pa.array(toi <= batch.column("max_toi").to_numpy(zero_copy_only=False))
-            columns = [batch.column("ray_id"), *(batch.column(a) for a in AXES), pa.array(toi)]
-            yield pa.RecordBatch.from_arrays([c.filter(hit) for c in columns], names=["ray_id", *AXES, "toi"])
+            columns = [*(batch.column(c) for c in (*_RAY, *AXES)), pa.array(toi)]
+            yield pa.RecordBatch.from_arrays([c.filter(hit) for c in columns], names=[*_RAY, *AXES, "toi"])
 
-    hits = near.mapInArrow(run, "ray_id long, x long, y long, z long, toi double")
-    best = hits.groupBy("ray_id").agg(F.min(F.struct(F.round("toi", 6).alias("toi"), "z", "y", "x")).alias("b"))
-    return best.select("ray_id", "b.x", "b.y", "b.z", "b.toi")
+    kinds = ", ".join(f"{c} {near.schema[c].dataType.simpleString()}" for c in (*_RAY, *AXES))
+    return _first(rays, near.select(*_RAY, *AXES).mapInArrow(run, f"{kinds}, toi double"), F.round("toi", 6))
 
 
 def contact_voxel(contact: Vec, normal: Vec) -> Vec:

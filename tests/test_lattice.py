@@ -376,6 +376,22 @@ def test_rays_that_stand_still(spark):
     assert as_set(search.cast_balls(rays, solid, 0.25), "ray_id", "x", "toi") == {(1, 0, 0.0)}
 
 
+@pytest.mark.parametrize("cast", [search.cast_rays])
+def test_casts_broadcast_no_rays_and_take_equal_ones_once(spark, cast):
+    d = lambda v: v.cast("double")
+    i = F.col("id")
+    # 1000 rays of two kinds; ids 998 and 999 come twice, as either kind
+    rays = spark.range(1000).select(F.least(i, i % 2 + 998).alias("ray_id"), d(i % 2 * 4 + 0.5).alias("sx"), F.lit(0.5).alias("sy"), F.lit(-3.0).alias("sz"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"), F.lit(1.0).alias("vz"), F.lit(30.0).alias("max_toi"))
+    rays = rays.unionByName(rays.where("ray_id >= 998").withColumn("sx", 5 - F.col("sx")))
+    solid = spark.range(2).select((F.col("id") * 4).alias("x"), F.lit(0).cast("long").alias("y"), (F.col("id") * 2).alias("z"))
+    got = cast(rays, solid)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    first = {r.ray_id: (r.x, r.y, r.z) for r in got.collect()}
+    assert first == {k: (0, 0, 0) if k % 2 == 0 or k >= 998 else (4, 0, 2) for k in range(1000)}
+    path = search._on_path(rays, solid, ChunkSpec((16, 16, 16)), 0.0)
+    assert path.count() == 4
+
+
 def test_components_far_apart(spark):
     got = search.connected(points(spark, [(1 << 20, 0, 0), (-(1 << 20), 1, 0)]))
     assert got.select("component").distinct().count() == 2
