@@ -376,7 +376,7 @@ def test_rays_that_stand_still(spark):
     assert as_set(search.cast_balls(rays, solid, 0.25), "ray_id", "x", "toi") == {(1, 0, 0.0)}
 
 
-@pytest.mark.parametrize("cast", [search.cast_rays])
+@pytest.mark.parametrize("cast", [search.cast_rays, lambda r, v: search.cast_balls(r, v, 0.25)])
 def test_casts_broadcast_no_rays_and_take_equal_ones_once(spark, cast):
     d = lambda v: v.cast("double")
     i = F.col("id")
