@@ -738,7 +738,9 @@ def m1_surface_nets(spark, sf):
 
 
 def m13_flat_shading(spark, sf):
-    return rounded(mesh.flat_shaded(*mesh.surface_nets(maps.read_extent(sdf_chunks(spark, sf), SDF, world(spark, sf)), world(spark, sf))), "px", "py", "pz", "nx", "ny", "nz", digits=5)
+    box = world(spark, sf)
+    flat = mesh.flat_surface_nets(maps.read_extent(sdf_chunks(spark, sf), SDF, box), box)
+    return flat.withColumns({n: fields.rounded(n, 5) for n in ("px", "py", "pz", "nx", "ny", "nz")})
 
 
 def m5_greedy_quads(spark, sf):

@@ -80,3 +80,12 @@ def noise(p: Vec, frequency: float, seed: int, octaves: int = 1) -> Column:
             values = [values[i] * (1 - t[a]) + values[i + 1] * t[a] for i in range(0, len(values), 2)]
         total, norm, weight = total + values[0] * weight, norm + weight, weight / 2
     return total / norm
+
+
+def rounded(name: str, digits: int) -> Column:
+    """round() of a double column with the same results: its way over decimal text is left for values near a tie, where binary and
+    decimal may part, and for large ones. -0.0 becomes 0.0."""
+    scaled = F.col(name) * 10.0**digits
+    whole = F.rint(scaled)
+    plain = (F.abs(scaled) < 1e9) & (F.abs(scaled - whole) < 0.4999)
+    return F.when(plain, whole / 10.0**digits).otherwise(F.round(name, digits)) + F.lit(0.0)

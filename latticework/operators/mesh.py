@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions import points as P
 from latticework.functions.points import Vec
-from latticework.model import AXES, Extent
+from latticework.model import AXES, KEYS, ChunkSpec, Extent
 from latticework.operators.maps import in_extent
-from latticework.operators.neighbours import visible_faces
+from latticework.operators.neighbours import halo, visible_faces
 
 
 def cells(samples: DataFrame, extent: Extent, value: str = "v") -> DataFrame:
@@ -66,34 +70,107 @@ def surface_quads(samples: DataFrame, extent: Extent, value: str = "v") -> DataF
     return edges.where(inner).join(ends, ["nx", "ny", "nz"]).where("neg <> other").select("axis", *AXES, F.col("neg").alias("inward"))
 
 
-def surface_nets(samples: DataFrame, extent: Extent, voxel_size: float = 1.0, value: str = "v") -> tuple[DataFrame, DataFrame]:
-    """(vertices, triangles): triangles are (axis, x, y, z of their edge, t, three structs of cells a, b,
-    c), two a quad, split along its shorter diagonal, wound outwards."""
-    points = vertices(cells(samples, extent, value), voxel_size)
-    quads = surface_quads(samples, extent, value)
-    step = {"x": (1, 2), "y": (2, 0), "z": (0, 1)}
-    out = quads
-    place = points.select(F.struct(*AXES).alias("cell"), F.struct("px", "py", "pz").alias("at"))
-    for k in range(4):
-        moved = [F.col(n) - sum((F.when(F.col("axis") == ax, int(bool(k & 1 and a == b) or bool(k & 2 and a == d))).otherwise(0) for ax, (b, d) in step.items()), F.lit(0)) for a, n in enumerate(AXES)]
-        cell = F.struct(*[m.cast("long").alias(n) for m, n in zip(moved, AXES)])
-        out = out.withColumn(f"c{k}", cell).join(place.select(F.col("cell").alias(f"c{k}"), F.col("at").alias(f"p{k}")), f"c{k}")
+#: Blocks whose quads are found at once, from their samples and those one around.
+BLOCK = ChunkSpec((16, 16, 16))
+#: Axes across each axis, in order.
+_ACROSS = [(1, 2), (2, 0), (0, 1)]
+_PLACES = [f"p{k}{a}" for k in range(4) for a in AXES]
+
+
+def _vertices_of(c: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Vertices inside cells, from values and whether they are known, by corner and cell: vertices() term by term."""
+    sums, n = np.zeros((3, c.shape[1])), np.zeros(c.shape[1], dtype=np.int64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for i, j in P.EDGES_3:
+            crossed = ((c[i] < 0) != (c[j] < 0)) & known[i] & known[j]
+            t = c[i] / (c[i] - c[j])
+            for a in range(3):
+                sums[a] += np.where(crossed, float(i >> a & 1) + t * float((j >> a & 1) - (i >> a & 1)), 0.0)
+            n += crossed
+        return sums / n
+
+
+def _block_quads(key: list[int], at: np.ndarray, v: np.ndarray, valid: np.ndarray, extent: Extent, voxel_size: float) -> Iterator[pa.RecordBatch]:
+    """Quads of the edges that begin in a block, and the vertices of the four cells around each. Arrays are by (z, y, x)
+    and begin one before the block."""
+    side = tuple(s + 2 for s in reversed(BLOCK.shape))
+    there, known, grid = np.zeros(side, bool), np.zeros(side, bool), np.zeros(side)
+    there.flat[at], known.flat[at], grid.flat[at] = True, valid, np.where(valid, v, 0.0)
+    negative = known & (grid < 0)
+    part = lambda g, o: g[tuple(slice(d, d + n - 1) for d, n in zip(reversed(o), side))]
+    below = sum(part(negative, o).astype(np.int8) for o in P.CORNERS_3)
+    mixed = np.logical_and.reduce([part(there, o) for o in P.CORNERS_3]) & (below > 0) & (below < 8)
+    inside = _vertices_of(*(np.stack([part(g, o)[mixed] for o in P.CORNERS_3]) for g in (grid, known)))
+    places = [voxel_size * ((low - 1 + where).astype(float) + s + 0.5) for low, where, s in zip(key, reversed(np.nonzero(mixed)), inside)]
+    number = np.full(mixed.shape, -1)
+    number[mixed] = np.arange(inside.shape[1])
+    own = lambda g, o=(0, 0, 0): g[tuple(slice(1 + d, 1 + d + n) for d, n in zip(reversed(o), reversed(BLOCK.shape)))]
+    for axis, across in enumerate(_ACROSS):
+        ahead = tuple(int(a == axis) for a in range(3))
+        found = own(known) & own(known, ahead) & (own(negative) != own(negative, ahead))
+        for a in range(3):
+            x = key[a] + np.arange(BLOCK.shape[a])
+            kept = (x < extent.maximum[a]) & (x != (extent.maximum[a] - 1 if a == axis else extent.minimum[a]))
+            found = found & kept.reshape([-1 if 2 - a == d else 1 for d in range(3)])
+        cells = [own(number, tuple(-int(bool(k & 1 and a == across[0]) or bool(k & 2 and a == across[1])) for a in range(3))) for k in range(4)]
+        for c in cells:
+            found = found & (c >= 0)
+        columns = [low + where for low, where in zip(key, reversed(np.nonzero(found)))] + [own(negative)[found]]
+        columns += [p[c[found]] for c in cells for p in places]
+        yield pa.RecordBatch.from_arrays([pa.repeat("xyz"[axis], len(columns[0])), *map(pa.array, columns)], names=["axis", *AXES, "inward", *_PLACES])
+
+
+def _net(samples: DataFrame, extent: Extent, voxel_size: float, value: str) -> DataFrame:
+    """(axis, x, y, z, inward, positions p0.. of the four cells around, long_way): quads of which all four cells have
+    a vertex. Each block gets its samples and those around it in one shuffle and is meshed by itself."""
+    own = samples.where(in_extent(extent)).select(*[F.col(a).cast("long").alias(a) for a in AXES], F.col(value).cast("double").alias("__v"))
+    local = Vec.of(*AXES) - Vec.of(*KEYS) + 1
+    sent = halo(own, BLOCK).select(*KEYS, P.stride(local, tuple(s + 2 for s in BLOCK.shape)).cast("int").alias("__at"), "__v")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        v = rows.column("__v")
+        found = _block_quads([k.as_py() for k in key], rows.column("__at").to_numpy(), v.to_numpy(), v.is_valid().to_numpy(), extent, voxel_size)
+        return pa.Table.from_batches(list(found))
+
+    quads = sent.groupBy(*KEYS).applyInArrow(run, "axis string, x long, y long, z long, inward boolean, " + ", ".join(f"{p} double" for p in _PLACES))
+    quads = quads.select("axis", *AXES, "inward", *[F.struct(*[F.col(f"p{k}{a}").alias(f"p{a}") for a in AXES]).alias(f"p{k}") for k in range(4)])
 
     def apart(i, j):
         return sum(((F.col(f"p{i}.{n}") - F.col(f"p{j}.{n}")) ** 2 for n in ("px", "py", "pz")), F.lit(0.0))
 
+    return quads.withColumn("long_way", apart(0, 3) < apart(1, 2))
+
+
+def _triangles(net: DataFrame, prefix: str) -> Column:
+    """Two triangles a quad as structs a, b, c of what it has for its cells, split along its shorter diagonal, wound outwards."""
+
     def tri(i, j, k):
-        return F.struct(*[F.col(f"c{m}").alias(n) for m, n in zip((i, j, k), "abc")])
+        return F.struct(*[F.col(f"{prefix}{m}").alias(n) for m, n in zip((i, j, k), "abc")])
 
-    long_way = apart(0, 3) < apart(1, 2)
-    out = out.withColumn(
-        "tris",
-        F.when(long_way & F.col("inward"), F.array(tri(0, 1, 3), tri(0, 3, 2)))
-        .when(long_way, F.array(tri(0, 3, 1), tri(0, 2, 3)))
+    return (
+        F.when(net["long_way"] & F.col("inward"), F.array(tri(0, 1, 3), tri(0, 3, 2)))
+        .when(net["long_way"], F.array(tri(0, 3, 1), tri(0, 2, 3)))
         .when(F.col("inward"), F.array(tri(1, 3, 2), tri(1, 2, 0)))
-        .otherwise(F.array(tri(1, 2, 3), tri(1, 0, 2))),
+        .otherwise(F.array(tri(1, 2, 3), tri(1, 0, 2)))
     )
-    return points, out.select("axis", *AXES, F.posexplode("tris").alias("t", "tri")).select("axis", *AXES, "t", "tri.a", "tri.b", "tri.c")
+
+
+def surface_nets(samples: DataFrame, extent: Extent, voxel_size: float = 1.0, value: str = "v") -> tuple[DataFrame, DataFrame]:
+    """(vertices, triangles): triangles are (axis, x, y, z of their edge, t, three structs of cells a, b,
+    c), two a quad, split along its shorter diagonal, wound outwards."""
+    points = vertices(cells(samples, extent, value), voxel_size)
+    out = _net(samples, extent, voxel_size, value)
+    for k in range(4):
+        moved = [F.col(n) - sum((F.when(F.col("axis") == "xyz"[ax], int(bool(k & 1 and a == b) or bool(k & 2 and a == d))).otherwise(0) for ax, (b, d) in enumerate(_ACROSS)), F.lit(0)) for a, n in enumerate(AXES)]
+        out = out.withColumn(f"c{k}", F.struct(*[m.cast("long").alias(n) for m, n in zip(moved, AXES)]))
+    return points, out.select("axis", *AXES, F.posexplode(_triangles(out, "c")).alias("t", "tri")).select("axis", *AXES, "t", "tri.a", "tri.b", "tri.c")
+
+
+def flat_surface_nets(samples: DataFrame, extent: Extent, voxel_size: float = 1.0, value: str = "v") -> DataFrame:
+    """flat_shaded() of surface_nets(), without a join: quads come with the positions of their corners."""
+    out = _net(samples, extent, voxel_size, value)
+    out = out.select("axis", *AXES, F.posexplode(_triangles(out, "p")).alias("t", "tri"))
+    return _flat(out.select("axis", *AXES, "t", *[F.col(f"tri.{n}").alias(f"at_{n}") for n in "abc"]))
 
 
 def greedy_quads(voxels: DataFrame, value: str = "m", opaque: str = "opaque") -> DataFrame:
@@ -192,7 +269,10 @@ def flat_shaded(points: DataFrame, triangles: DataFrame) -> DataFrame:
     for n in "abc":
         at = place.select(F.col("cell").alias(n), F.struct("px", "py", "pz").alias(f"at_{n}"))
         out = out.join(at, n)
+    return _flat(out)
+
 
+def _flat(out: DataFrame) -> DataFrame:
     def side(n, m):
         return Vec(*[F.col(f"at_{n}.{p}") - F.col(f"at_{m}.{p}") for p in ("px", "py", "pz")])
 

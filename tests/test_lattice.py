@@ -125,6 +125,17 @@ def test_quantised_distances(spark):
     assert [r[0] for r in df.select(fields.quantise(F.col("v"), 16)).collect()] == [-32767, 0, 32767, 32767]
 
 
+def test_rounding_equals_round(spark):
+    rng = random.Random(3)
+    # ties by their text or in binary, their neighbours, and what has no digits left
+    odd = [None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0, -1e-9, 5e-6, 1.000005, 2.675, 1.005, 0.285, 1e15 + 0.5, 12345.678905, -0.000015, 1e-300, 1e300]
+    ties = [(k + 0.5) * 10.0**-5 + d for k in range(-2000, 2000, 7) for d in (0.0, 1e-12, -1e-12, 1e-17)]
+    df = spark.createDataFrame([(v,) for v in odd + ties + [rng.uniform(-1e3, 1e3) for _ in range(5000)] + [rng.uniform(-1e7, 1e7) for _ in range(1000)]], "v double")
+    for digits in (0, 2, 5):
+        both = df.select(fields.rounded("v", digits).alias("ours"), (F.round("v", digits) + F.lit(0.0)).alias("theirs"))
+        assert both.where("not (ours <=> theirs)").count() == 0
+
+
 def test_octree_equals_dense_model(spark):
     rng = random.Random(1)
     cells = {(x, y, z) for x in range(16) for y in range(16) for z in range(16) if rng.random() < 0.5}
@@ -222,6 +233,41 @@ def test_surface_net_of_a_ball_is_closed(spark):
     assert out.agg(F.min("d")).first()[0] > 0
 
 
+def test_nets_over_blocks_need_no_join(spark):
+    rng = random.Random(5)
+    box = Extent((-5, 9, -3), (26, 14, 9))
+    # around the edges of blocks, with gaps and unknown values, and some beyond the box
+    rows = [(*p, rng.choice([None, float("nan"), 0.0, -0.0]) if rng.random() < 0.004 else rng.uniform(-1, 1)) for p in Extent((-6, 8, -4), (28, 16, 11)).points() if rng.random() < 0.97]
+    s = points(spark, rows, "x long, y long, z long, v double").cache()
+    vertices, triangles = mesh.surface_nets(s, box, 0.5)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(triangles) and plan(triangles).count("Exchange") == 1
+    flat = mesh.flat_surface_nets(s, box, 0.5)
+    assert "Join" not in plan(flat) and plan(flat).count("Exchange") == 1
+
+    # quads of which all four cells have a vertex, both from the steps that have SQL
+    there = {(r.x, r.y, r.z) for r in mesh.cells(s, box).where(F.exists("c", lambda v: v < 0) & ~F.forall("c", lambda v: F.coalesce(v < 0, F.lit(False)))).collect()}
+    across = {"x": (1, 2), "y": (2, 0), "z": (0, 1)}
+
+    def cells_of(r):
+        return [tuple(int(c) - (1 if (k & 1 and a == across[r.axis][0]) or (k & 2 and a == across[r.axis][1]) else 0) for a, c in enumerate((r.x, r.y, r.z))) for k in range(4)]
+
+    want = {(r.axis, r.x, r.y, r.z): set(cells_of(r)) for r in mesh.surface_quads(s, box).collect() if there.issuperset(cells_of(r))}
+    got: dict = {}
+    for r in triangles.collect():
+        got.setdefault((r.axis, r.x, r.y, r.z), []).append({tuple(r.a), tuple(r.b), tuple(r.c)})
+    assert {k: set.union(*v) for k, v in got.items()} == want and all(len(v) == 2 and len(v[0] & v[1]) == 2 for v in got.values()) and len(want) > 1000
+    spots = {}
+    for r in vertices.where("px is not null").collect():
+        spots[(r.x, r.y, r.z)] = (r.px, r.py, r.pz)
+    by = {}
+    for r in flat.collect():
+        by.setdefault((r.axis, r.x, r.y, r.z, r.t), {})[r.k] = (r.px, r.py, r.pz)
+    assert len(by) == 2 * len(want)
+    for r in triangles.collect():
+        assert repr([by[(r.axis, r.x, r.y, r.z, r.t)][k] for k in range(3)]) == repr([spots[tuple(c)] for c in (r.a, r.b, r.c)])
+
+
 def test_meshes_of_two_chunks_share_no_triangle(spark):
     whole = Extent.cube((-8, -8, -8), 17)
     s = scan.func(spark, whole, v=lambda p: (p.norm_squared() - 10).cast("double"))
